@@ -111,12 +111,15 @@ def train(texts: list[str], good: np.ndarray, bits: int = BITS, rounds: int = 10
     if hold.any():
         x, y = z[hold], good[hold].astype(float)
         y = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        loss = lambda a, b: -(y * (u := np.clip(a * x + b, -50, 50)) - np.log1p(np.exp(u))).sum() + 1e-3 * (a * a + b * b)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -50, 50)))
             r, s = p - y, p * (1 - p) + 1e-9
-            h = np.array([[(s * x * x).sum() + 1e-6, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-6]])
-            step = np.linalg.solve(h, [(r * x).sum(), r.sum()])
-            slope, shift = slope - np.clip(step[0], -2, 2), shift - np.clip(step[1], -2, 2)
+            h = np.array([[(s * x * x).sum() + 2e-3, (s * x).sum()], [(s * x).sum(), s.sum() + 2e-3]])
+            step, now, rate = np.linalg.solve(h, [(r * x).sum() + 2e-3 * slope, r.sum() + 2e-3 * shift]), loss(slope, shift), 1.0
+            while rate > 1e-4 and loss(slope - rate * step[0], shift - rate * step[1]) > now:
+                rate /= 2
+            slope, shift = slope - rate * step[0], shift - rate * step[1]
     return Model(w[:width] * scale, w[width:] * scale, bias, float(slope), float(shift))
 
 
