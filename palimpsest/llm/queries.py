@@ -17,7 +17,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_checksums
+
+    return token_checksums(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_digests
+
+    return encode_digests(_table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 
