@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licences, mixing
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,16 +25,36 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_checksums(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mixing import mix
+
+    mixed = mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).cast("long").alias("taken"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_digests
 
     return encode_digests(_table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import licence_matches
+
+    return licence_matches(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op4_mix_sources": op4_mix_sources,
     "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op10_licence_scan": op10_licence_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mix_sources": mixing.oracle_sql(),
+    "op10_licence_scan": licences.oracle_sql(),
+}
