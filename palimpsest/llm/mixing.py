@@ -8,8 +8,8 @@ rest, down to single shards. A source's permuted blocks are then dealt out in di
 ordered by a hash of shard, row and pass.
 
 Targets: sources in code point order (null last) weigh 1, 2, 3, repeating, and share the sum of all sizes; a target stops at 3 times its
-source's size and the excess goes to the others by weight until none is above. The last pass takes documents in order while they
-fit, then the one document whose size comes nearest to what is left, if that helps.
+source's size and the excess goes to the others by weight until none is above. The last pass takes documents in order up to the first
+that doesn't fit; then those of the next FILLERS smaller ones that still fit, in order, fill the rest.
 
 Null or empty text: size 0, it may be placed but takes no words. Null sources are one source. Rows with equal ids and sizes are
 interchangeable. All-empty input: targets are 0. Reruns agree: every draw is a hash of fixed values.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Blocks of a source; words of a shard; at most this many shards; most copies of a document; seed of all draws.
-BLOCKS, SHARD_WORDS, MOST_SHARDS, MOST_COPIES, SEED = 4096, 1 << 22, 1024, 3, 20240229
+#: Blocks of a source; words of a shard; at most this many shards; documents tried for the rest of a quota; seed of all draws.
+BLOCKS, SHARD_WORDS, MOST_SHARDS, FILLERS, SEED = 4096, 1 << 22, 1024, 64, 20240229
 _BITS = 60
 
 
@@ -63,8 +63,8 @@ def splitting_tree(quotas: DataFrame, levels: int) -> DataFrame:
     node = quotas.agg(F.sort_array(F.collect_list(F.struct("place", "quota"))).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
     for level in range(levels):
 
-        def draw(s: Column, x: Column, level: int = level) -> Column:
-            got = F.when(s["room"] <= 0, F.lit(0).cast("long")).otherwise(hypergeometric(x["quota"], s["pool"], s["room"], _uniform(F.lit(level), F.col("node"), x["place"])))
+        def draw(s: Column, x: Column) -> Column:
+            got = F.when(s["room"] <= 0, F.lit(0).cast("long")).otherwise(hypergeometric(x["quota"], s["pool"], s["room"], _uniform(F.lit(level), F.col("node"), x["place"])))  # noqa: B023
             return F.struct((s["pool"] - x["quota"]).alias("pool"), (s["room"] - got).alias("room"), F.concat(s["out"], F.array(F.struct(x["place"].alias("place"), got.alias("quota")))).alias("out"))
 
         pool = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["quota"])
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, _BITS // 4), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("size"), key.alias("key"))
-    rows = staged(rows.withColumn("block", F.shiftright("key", _BITS - 12)), "mix-rows")
+    rows = staged(rows.withColumn("block", F.shiftright("key", _BITS - (BLOCKS.bit_length() - 1))), "mix-rows")
     by_source = staged(targets(rows), "mix-sources")
     known = by_source.select("source", "place", "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"))
     known = known.withColumn("part", F.when(F.col("source_size") > 0, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0))
@@ -117,10 +117,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = placed.withColumn("taken_part", fits | (edge & (F.col("before") + F.sum("size").over(inner) <= F.col("part"))))
     placed = staged(placed, "mix-placed")
     gaps = placed.groupBy("place").agg((F.max("part") - F.sum(F.when(F.col("taken_part"), F.col("size")).otherwise(0))).alias("gap"))
-    rest = placed.where(~F.col("taken_part") & (F.col("size") > 0)).groupBy("place", "size", "key", "doc_id").count().where("count = 1").groupBy("place", "size").agg(F.min(F.struct("key", "doc_id")).alias("first"))
-    nearest = F.abs(F.col("size") - F.col("gap"))
-    extra = rest.join(gaps, "place").where(nearest < F.col("gap")).groupBy("place").agg(F.min(F.struct(nearest.alias("d"), F.col("first").alias("first"), F.col("size").alias("size"))).alias("x"))
-    extra = extra.select("place", F.col("x.first.key").alias("key"), F.col("x.first.doc_id").alias("extra_id"), F.col("x.size").alias("size"))
+    small = placed.where(~F.col("taken_part") & (F.col("size") > 0)).join(gaps, "place").where(F.col("size") <= F.col("gap"))
+    small = small.groupBy("place", "gap", "size", "key", "doc_id").count().where("count = 1")
+    small = small.withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy("key", "doc_id"))).where(F.col("n") <= FILLERS)
+    # FILLERS rows of a source at most come together here.
+    filling = small.groupBy("place").agg(F.max("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("key", "doc_id", "size"))).alias("xs"))
+    nothing = F.expr("array_repeat(named_struct('key', 0L, 'doc_id', 0L, 'size', 0L), 0)")
+    fill = F.aggregate("xs", F.struct(F.col("gap").alias("gap"), nothing.alias("out")), lambda s, x: F.when(x["size"] <= s["gap"], F.struct((s["gap"] - x["size"]).alias("gap"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s), lambda s: s["out"])
+    extra = filling.select("place", F.explode(fill).alias("x")).select("place", "x.key", F.col("x.doc_id").alias("extra_id"), "x.size")
 
     # Quotas, the tree, and the runs of permuted blocks.
     passes = F.when(F.col("before") <= F.col("part"), F.col("whole") + 1).otherwise(F.col("whole"))
@@ -173,8 +177,12 @@ p AS (SELECT d.doc_id, d.source, d.size, d.key, s6.source_size, s6.target, s6.wh
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= s6.part AS fits
     FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
 g AS (SELECT source, max(part) - sum(CASE WHEN fits THEN size ELSE 0 END)::DOUBLE AS gap FROM p GROUP BY source),
-u AS (SELECT source, doc_id, size, key FROM p WHERE NOT fits AND size > 0 GROUP BY ALL HAVING count(*) = 1),
-x AS (SELECT u.source, u.doc_id, u.key FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source WHERE abs(u.size - g.gap) < g.gap
-    QUALIFY row_number() OVER (PARTITION BY u.source ORDER BY abs(u.size - g.gap), u.key, u.doc_id) = 1)
+u0 AS (SELECT p.source, p.doc_id, p.size, p.key, g.gap FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND size > 0 AND size <= gap GROUP BY ALL HAVING count(*) = 1),
+u AS (SELECT * FROM u0 p
+    QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY p.key, p.doc_id) <= {FILLERS}),
+l AS (SELECT source, list_reduce(list({{'key': key, 'doc_id': doc_id, 'size': size}} ORDER BY key, doc_id),
+    lambda s, x: CASE WHEN x.size <= s.gap THEN {{'gap': (s.gap - x.size)::DOUBLE, 'keys': list_append(s.keys, x.key)}} ELSE s END,
+    {{'gap': max(gap), 'keys': []::BIGINT[]}}).keys AS keys FROM u GROUP BY source),
+x AS (SELECT u.source, u.doc_id, u.key FROM u JOIN l ON u.source IS NOT DISTINCT FROM l.source WHERE list_contains(l.keys, u.key))
 SELECT p.doc_id, p.size, p.source_size, p.target, (p.size * (p.whole + CASE WHEN p.fits OR x.key IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM p LEFT JOIN x ON p.source IS NOT DISTINCT FROM x.source AND p.doc_id IS NOT DISTINCT FROM x.doc_id AND p.key = x.key"""
