@@ -25,6 +25,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_checksums(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flac import encode_media, media_digests
+
+    # The stored form is the media column between the two operators; flac.stored_media_digests keeps it in a table as well.
+    return media_digests(encode_media(_table(spark, sf_dir, "documents")))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -48,6 +55,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_flac_media": op2_flac_media,
     "op4_mix_sources": op4_mix_sources,
     "op6_bpe": op6_bpe,
     "op8_quality_rules": op8_quality_rules,
