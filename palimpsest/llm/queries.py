@@ -47,6 +47,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import licence_matches
 
@@ -58,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_flac_media": op2_flac_media,
     "op4_mix_sources": op4_mix_sources,
     "op6_bpe": op6_bpe,
+    "op7_html_text": op7_html_text,
     "op8_quality_rules": op8_quality_rules,
     "op10_licence_scan": op10_licence_scan,
 }
