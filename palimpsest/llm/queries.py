@@ -41,6 +41,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).cast("long").alias("taken"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_digests
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_flac_media": op2_flac_media,
     "op4_mix_sources": op4_mix_sources,
+    "op5_ngram_join": op5_ngram_join,
     "op6_bpe": op6_bpe,
     "op7_html_text": op7_html_text,
     "op8_quality_rules": op8_quality_rules,
