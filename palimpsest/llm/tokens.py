@@ -21,6 +21,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces in memory; characters from which a piece is long.
 MOST, LONG = 600_000, 1024
+#: New words that one library call encodes together.
+SENTENCE = 512
 _CUT = re.compile(r"(?<=\S)(?= )")
 _BREAK = re.compile(r"[ \n]+")
 # Letters, numbers and white space of Latin-1, and the two vocabularies' published split patterns in them.
@@ -28,6 +30,7 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\x
 _BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _WORD_END = re.compile(f"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _WIDE = re.compile("[^\x00-\xff]")
+_SPACED_WORD, _WORD, _NOTHING = re.compile(f" [{_L}]{{1,64}}"), re.compile(f"[{_L}]{{1,64}}"), re.compile("(?!)")
 
 
 def vocabulary(name: str) -> str:
@@ -37,6 +40,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Codes(dict):
+    """Piece -> code; a new piece gets the next code and waits in `pending` for its ids."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.pending: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = code = len(self)
+        self.pending.append(piece)
+        return code
+
+
 class Encoder:
     """Encode and decode as the tokenizers library does for one tokenizer file."""
 
@@ -60,15 +76,36 @@ class Encoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes()
         self.store, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begins, self.lengths, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.decimal: list[str] = []
         self.decoded: list[str] = []
 
-    def _learn(self, pieces: list[str]) -> None:
-        short, long = [c for c in pieces if len(c) <= self.long], [c for c in pieces if len(c) > self.long]
-        rows = self._plain(short) + (self.long_text(long) if long else [])
+    def _rows(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece. Words are strung together, as many as SENTENCE in one call: each is a pre-token of its own there."""
+        rows: list = [None] * len(pieces)
+        plain = _SPACED_WORD if self.byte_level else _WORD if self.word_end else _NOTHING
+        words = [k for k, c in enumerate(pieces) if plain.fullmatch(c)]
+        groups = [words[k : k + SENTENCE] for k in range(0, len(words), SENTENCE)]
+        glue = "" if self.byte_level else " "
+        for group, encoding in zip(groups, self.tokenizer.encode_batch([glue.join(pieces[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
+            ids, cuts = encoding.ids, np.flatnonzero(np.diff(encoding.word_ids, prepend=-1)).tolist()
+            if len(cuts) != len(group):
+                raise ValueError("a word was cut otherwise than the split pattern says")
+            for k, i, j in zip(group, cuts, [*cuts[1:], len(ids)], strict=True):
+                rows[k] = ids[i:j]
+        other = [k for k, r in enumerate(rows) if r is None and len(pieces[k]) <= self.long]
+        for k, ids in zip(other, self._plain([pieces[k] for k in other]), strict=True):
+            rows[k] = ids
+        long = [k for k, r in enumerate(rows) if r is None]
+        for k, ids in zip(long, self.long_text([pieces[k] for k in long]) if long else [], strict=True):
+            rows[k] = ids
+        return rows
+
+    def _learn(self) -> None:
+        rows = self._rows(self.codes.pending)
+        self.codes.pending = []
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         total, known = int(lengths.sum()), self.known + len(rows)
         while self.used + total > len(self.store):
@@ -78,7 +115,6 @@ class Encoder:
         self.store[self.used : self.used + total] = np.fromiter(chain.from_iterable(rows), np.uint32, total)
         self.lengths[self.known : known] = lengths
         self.begins[self.known : known] = self.used + np.cumsum(lengths) - lengths
-        self.codes.update(zip(short + long, range(self.known, known), strict=True))
         self.used, self.known = self.used + total, known
 
     def _digests(self) -> None:
@@ -99,12 +135,10 @@ class Encoder:
         """The piece codes of each text. The pieces of a step are looked up, and learnt, together."""
         if self.known > self.most:
             self.clear()
-        cut = [self._cut(t) for t in texts]
-        found = [list(map(self.codes.get, x)) for x in cut]
-        missing = {c: None for x, f in zip(cut, found, strict=True) if None in f for c, k in zip(x, f, strict=True) if k is None}
-        if missing:
-            self._learn(list(missing))
-            found = [list(map(self.codes.__getitem__, x)) if None in f else f for x, f in zip(cut, found, strict=True)]
+        code = self.codes.__getitem__
+        found = [list(map(code, self._cut(t))) for t in texts]
+        if self.codes.pending:
+            self._learn()
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
