@@ -61,6 +61,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import passage_report
+
+    return passage_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import licence_matches
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_html_text": op7_html_text,
     "op8_quality_rules": op8_quality_rules,
+    "op9_near_passages": op9_near_passages,
     "op10_licence_scan": op10_licence_scan,
 }
 
