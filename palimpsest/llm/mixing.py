@@ -160,6 +160,17 @@ def shards(mixed: DataFrame) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard", "order", "doc_id")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """docs as often as the mix takes each: rows that it leaves out go, rows that it repeats are repeated; all columns as they are."""
+    # Rows with equal ids, sources and sizes are interchangeable and take the largest of their numbers.
+    taken = mix(docs).where(F.size("placements") > 0).groupBy("doc_id", "source", "size").agg(F.max(F.size("placements")).alias("copies_"))
+    taken = taken.select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("size_"), "copies_")
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (size == F.col("size_"))
+    joined = docs.join(taken, same)
+    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+
+
 def oracle_sql() -> str:
     """What the mix takes of each document: it doesn't depend on how the tree deals blocks to shards."""
     return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,

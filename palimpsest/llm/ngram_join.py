@@ -238,3 +238,10 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     of_node = named.join(best, "component").select("node", "component_id")
     out = members.join(of_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group: the one that gives the group its name. Rows with equal doc_id and text are one document."""
+    classes = jaccard_classes(docs, width, percent)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi").dropDuplicates(["doc_id", "text"])

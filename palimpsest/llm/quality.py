@@ -171,19 +171,36 @@ def base_measures(raw: np.ndarray, offs: np.ndarray, words: Words, hashes: np.nd
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
 
 
+def _measured(batch: pa.RecordBatch, model: Model | None, threshold: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(base measures, base_failed, probability) of a step's texts."""
+    raw, offs = text_bytes(batch.column("text"))
+    words = Words(raw, offs)
+    hashes = words.hashes()
+    out = base_measures(raw, offs, words, hashes)
+    failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
+    return out, failed, model.probability(_logits(raw, offs, words, model, hashes)) if model else np.ones(len(failed))
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """A row for each row of docs: its base measures, base_failed, the calibrated probability of good quality, kept."""
     model = train(*labelled(docs, labels, max_labelled))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            raw, offs = text_bytes(batch.column("text"))
-            words = Words(raw, offs)
-            hashes = words.hashes()
-            out = base_measures(raw, offs, words, hashes)
-            failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-            chance = model.probability(_logits(raw, offs, words, model, hashes)) if model else np.ones(len(failed))
+            out, failed, chance = _measured(batch, model, threshold)
             columns = [batch.column("doc_id"), *(pa.array(out[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(~failed & (chance >= threshold)), pa.array(chance)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"])
+            yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     return documents(docs).mapInArrow(score, SCHEMA)
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of docs that quality_verdicts keeps, all columns as they are."""
+    model = train(*labelled(docs, labels, max_labelled))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            _, failed, chance = _measured(batch, model, threshold)
+            yield batch.filter(pa.array(~failed & (chance >= threshold)))
+
+    return docs.mapInArrow(passed, docs.schema)
