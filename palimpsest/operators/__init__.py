@@ -1 +1 @@
-"""See the README."""
+"""Conversation memory operators as DataFrame -> DataFrame functions."""

@@ -1 +1 @@
-"""See the README."""
+"""The registered queries and their SQL."""

@@ -1 +1 @@
-"""See the README."""
+"""Readers: message tables, plain text, and the memory tables."""
