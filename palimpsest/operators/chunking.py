@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as X
 from ..functions import vectors as V
 
-SESSION = Window.partitionBy("conv_id").orderBy("idx")
+
+def in_session() -> WindowSpec:
+    """Turns of a session in order: one spec for all windows here, so they share one sort."""
+    return Window.partitionBy("conv_id").orderBy("idx")
+
 
 #: A vectorizer turns a text column into an array<double> column; a pandas UDF of a real encoder fits as well.
 Vectorizer = Callable[[Column], Column]
@@ -27,8 +31,8 @@ def embed(turns: DataFrame, config: Config, vectorizer: Vectorizer | None = None
 
 def similarities(vectors: DataFrame, config: Config) -> DataFrame:
     """(conv_id, gap, sim): cosine of the mean vectors of up to `window` turns before and behind each gap. Both frames share one sort."""
-    left = F.collect_list("vec").over(SESSION.rowsBetween(1 - config.window, 0))
-    right = F.collect_list("vec").over(SESSION.rowsBetween(1, config.window))
+    left = F.collect_list("vec").over(in_session().rowsBetween(1 - config.window, 0))
+    right = F.collect_list("vec").over(in_session().rowsBetween(1, config.window))
     framed = vectors.select("conv_id", "idx", left.alias("l"), right.alias("r")).where("size(r) > 0")
     cosine = V.cosine(V.mean(F.col("l"), config.dim), V.mean(F.col("r"), config.dim))
     return framed.select("conv_id", F.col("idx").alias("gap"), cosine.alias("sim"))
@@ -61,8 +65,8 @@ def boundaries(vectors: DataFrame, config: Config) -> DataFrame:
 def assign(vectors: DataFrame, config: Config, single: bool = False) -> DataFrame:
     """Turns with their chunk_ord. `single`: each turn is a chunk, as when turns leave the recent buffer one by one."""
     if single:
-        return vectors.withColumn("chunk_ord", (F.row_number().over(SESSION) - 1).cast("long"))
-    base = vectors.withColumn("place", (F.row_number().over(SESSION) - 1).cast("long"))
+        return vectors.withColumn("chunk_ord", (F.row_number().over(in_session()) - 1).cast("long"))
+    base = vectors.withColumn("place", (F.row_number().over(in_session()) - 1).cast("long"))
     renumbered = base.withColumn("idx_", F.col("idx")).withColumn("idx", F.col("place"))
     cuts = boundaries(renumbered, config)
     out = renumbered.join(cuts, "conv_id").withColumn("chunk_ord", F.size(F.filter("cuts", lambda b: b <= F.col("place"))).cast("long"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as X
-from .chunking import SESSION, chunk
+from .chunking import chunk
 
-_NODE_ORDER = Window.partitionBy("conv_id").orderBy("chunk_ord")
+def two_places(x: Column) -> Column:
+    """Rounded to two places in binary arithmetic, the same in every engine."""
+    return F.floor(x * 100 + F.lit(0.5)) / 100
 
 
 def micro(content: Column, tok: Column, config: Config) -> Column:
@@ -92,7 +94,7 @@ def cold_from_nodes(nodes: DataFrame, turns: DataFrame, config: Config) -> DataF
     totals = turns.groupBy("conv_id").agg(F.count("*").alias("turn_count"), F.sum("tok").alias("tok_orig"))
     rows = macro(nodes, config).where("macro <> ''").join(totals, "conv_id")
     compressed = X.token_count(F.col("macro")).cast("long")
-    ratio = F.round(F.col("tok_orig") / F.greatest(compressed, F.lit(1)), 2)
+    ratio = two_places(F.col("tok_orig") / F.greatest(compressed, F.lit(1)))
     return rows.select("conv_id", "macro", "node_count", "turn_count", "tok_orig", compressed.alias("tok_comp"), ratio.alias("ratio"), F.array_join("topics", " | ").alias("topics"))
 
 
@@ -106,7 +108,5 @@ def compression_stats(turns: DataFrame, nodes: DataFrame) -> DataFrame:
     raw = turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("tok").alias("raw"))
     short = nodes.groupBy("conv_id").agg(F.count("*").alias("chunks"), F.sum(F.when(X.strip(F.col("meso")) == "", 0).otherwise(F.size(X.words(F.col("meso"))))).cast("long").alias("compressed"), F.sum(X.token_count(F.col("meso"))).cast("long").alias("compressed_tokens"))
     rows = raw.join(short, "conv_id")
-    return rows.select("conv_id", "turns", "chunks", "raw", "compressed", F.round(F.col("raw") / F.greatest("compressed", F.lit(1)), 2).alias("ratio"), F.round(F.col("raw") / F.greatest("compressed_tokens", F.lit(1)), 2).alias("token_ratio"))
+    return rows.select("conv_id", "turns", "chunks", "raw", "compressed", two_places(F.col("raw") / F.greatest("compressed", F.lit(1))).alias("ratio"), two_places(F.col("raw") / F.greatest("compressed_tokens", F.lit(1))).alias("token_ratio"))
 
-
-__all__ = ["SESSION", "build_nodes", "cold_from_nodes", "compress", "compression_stats", "delete_sessions", "evicted", "hot", "latest", "macro", "meso", "micro", "node_id", "peek", "tokens_saved", "upsert"]

@@ -207,12 +207,13 @@ def macro_summary(spark, d):
     return memory.macro(nodes(spark, d), C).select("conv_id", "macro", long(X.token_count(F.col("macro"))).alias("tok"))
 
 
-_NODE = ["conv_id", "chunk_ord", F.col("topic").alias("label"), "meso", "turn_start", "turn_end", F.col("tok").cast("long").alias("tok")]
+def _node() -> list:
+    return ["conv_id", "chunk_ord", F.col("topic").alias("label"), "meso", "turn_start", "turn_end", F.col("tok").cast("long").alias("tok")]
 
 
 @query
 def build_nodes(spark, d):
-    return nodes(spark, d).select(*_NODE)
+    return nodes(spark, d).select(*_node())
 
 
 @query
@@ -224,7 +225,7 @@ def node_compressed_text(spark, d):
 def node_json_roundtrip(spark, d):
     rows = nodes(spark, d)
     back = rows.select(F.from_json(F.to_json(F.struct(*rows.columns)), rows.schema).alias("x")).select("x.*")
-    return back.select(*_NODE)
+    return back.select(*_node())
 
 
 # -- Memory tiers -------------------------------------------------------------------------------------------
@@ -333,12 +334,13 @@ def _cold(spark, d) -> DataFrame:
     return memory.cold_from_nodes(memory.compress(base, C), base, C)
 
 
-_COLD = ["conv_id", F.col("node_count").cast("long").alias("node_count"), F.col("turn_count").cast("long").alias("turn_count"), F.col("tok_orig").cast("long").alias("tok_orig"), "tok_comp", "ratio", "topics"]
+def _cold_columns() -> list:
+    return ["conv_id", F.col("node_count").cast("long").alias("node_count"), F.col("turn_count").cast("long").alias("turn_count"), F.col("tok_orig").cast("long").alias("tok_orig"), "tok_comp", "ratio", "topics"]
 
 
 @query
 def cold_from_nodes(spark, d):
-    return _cold(spark, d).select(*_COLD)
+    return _cold(spark, d).select(*_cold_columns())
 
 
 @query
@@ -346,12 +348,12 @@ def cold_latest(spark, d):
     """The archive after sessions with an even id were written a second time with one turn more."""
     rows = _cold(spark, d).withColumn("version", F.lit(1).cast("long")).withColumn("deleted", F.lit(False))
     again = _cold(spark, d).where("conv_id % 2 = 0").withColumn("turn_count", F.col("turn_count") + 1)
-    return memory.latest(memory.upsert(rows, again, 2), ["conv_id"]).select(*_COLD)
+    return memory.latest(memory.upsert(rows, again, 2), ["conv_id"]).select(*_cold_columns())
 
 
 @query
 def cold_get(spark, d):
-    return _cold(spark, d).where("conv_id = 7").select(*_COLD)
+    return _cold(spark, d).where("conv_id = 7").select(*_cold_columns())
 
 
 @query
@@ -362,7 +364,7 @@ def cold_index(spark, d):
 @query
 def cold_delete(spark, d):
     gone = turns(spark, d).where("conv_id % 5 = 0").select("conv_id").distinct()
-    return memory.delete_sessions(_cold(spark, d), gone).select(*_COLD)
+    return memory.delete_sessions(_cold(spark, d), gone).select(*_cold_columns())
 
 
 @query
@@ -489,7 +491,7 @@ def session_stats(spark, d):
     warm = memory.compress(memory.evicted(base, C), C).groupBy("conv_id").agg(F.count("*").alias("warm"), F.sum("tok").alias("warm_tok"))
     all_turns = base.groupBy("conv_id").agg(F.sum("tok").alias("raw"), (F.count("*") >= 5).alias("cold_exists"))
     rows = all_turns.join(recent, "conv_id", "left").join(warm, "conv_id", "left").fillna(0, ["hot", "warm", "warm_tok"])
-    return rows.select("conv_id", "hot", "warm", "cold_exists", F.round(F.col("raw") / F.greatest(F.col("warm_tok") + F.col("hot") * 50, F.lit(1)), 2).alias("ratio"))
+    return rows.select("conv_id", "hot", "warm", "cold_exists", memory.two_places(F.col("raw") / F.greatest(F.col("warm_tok") + F.col("hot") * 50, F.lit(1))).alias("ratio"))
 
 
 @query
