@@ -32,6 +32,12 @@ def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(encode_media(_table(spark, sf_dir, "documents")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import substring_report
+
+    return substring_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -76,6 +82,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_flac_media": op2_flac_media,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_ngram_join": op5_ngram_join,
     "op6_bpe": op6_bpe,
