@@ -189,7 +189,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS idx,
     "content_words": f"SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS word FROM (SELECT doc_id, {cwords('text')} AS s FROM documents)",
     "top_words": f"WITH {DOC2} SELECT k AS doc_id, rnk AS rank, word, n FROM d_t WHERE rnk <= 20",
     "sentence_scores": f"WITH {DOC2} SELECT k AS doc_id, pos, round(score, 6) AS score FROM d_r WHERE {MANY}",
-    "summarizer_trace": f"WITH {DOC14} SELECT k AS doc_id, pos, round(score, 3) AS score, picked, len(list_intersect(cs, top))::BIGINT AS hits FROM d_cum WHERE {MANY}",
+    "summarizer_trace": f"WITH {DOC14} SELECT k AS doc_id, pos, floor(score * 1000 + 0.5::DOUBLE) / 1000 AS score, picked, len(list_intersect(cs, top))::BIGINT AS hits FROM d_cum WHERE {MANY}",
     "extractive_summary": f"WITH {DOC2} SELECT k AS doc_id, summary, {tok('summary')} AS tok FROM d_out",
     "hashed_embeddings": f"WITH {T}, {vec_of('t', 'conv_id, idx', 'content', '')} SELECT conv_id, idx, dim, round(w, 6) AS w FROM v WHERE w <> 0",
     "window_similarity": f"WITH {CH} SELECT conv_id, gap, round(sim, 6) AS sim FROM sim",

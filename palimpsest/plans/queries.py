@@ -137,7 +137,7 @@ def summarizer_trace(spark, d):
     rows = rows.withColumn("ranked", X.scored_sentences(F.col("found"), F.col("top")))
     rows = rows.select("doc_id", "top", X.fitting(F.col("ranked"), C.meso_tokens).alias("n"), F.posexplode("ranked").alias("rank", "x"))
     hits = F.size(F.array_intersect(F.array_distinct(X.telling_words(F.col("x.sentence"))), F.col("top")))
-    return rows.select("doc_id", long("x.pos").alias("pos"), F.round(0 - F.col("x.minus_score"), 3).alias("score"), (F.col("rank") < F.col("n")).alias("picked"), long(hits).alias("hits"))
+    return rows.select("doc_id", long("x.pos").alias("pos"), (F.floor((0 - F.col("x.minus_score")) * 1000 + F.lit(0.5)) / 1000).alias("score"), (F.col("rank") < F.col("n")).alias("picked"), long(hits).alias("hits"))
 
 
 @query

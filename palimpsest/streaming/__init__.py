@@ -1 +1 @@
-"""See the README."""
+"""Incremental operators on Structured Streaming."""
