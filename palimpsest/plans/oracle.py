@@ -235,10 +235,10 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) + CASE WHEN n > 1 AND top > 0 THEN vec_id / top::DOUBLE * {C.recency_boost}::DOUBLE ELSE 0 END, 9) AS score
     FROM embeddings e JOIN qs ON e.label = qs.label)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 6) AS score FROM s QUALIFY rank <= {C.top_k}""",
-    "stateless_retrieve": f"WITH {RT} SELECT conv_id, rank0 AS rank, chunk_ord, round(sem, 6) AS sem, 0.0::DOUBLE AS rec, 0.0::DOUBLE AS kw, round(sem, 6) AS composite FROM cand WHERE rank0 <= {C.top_k}",
+    "stateless_retrieve": f"WITH {RT} SELECT conv_id, rank0 AS rank, chunk_ord, floor(sem * 1000000 + 0.5::DOUBLE) / 1000000 AS sem, 0.0::DOUBLE AS rec, 0.0::DOUBLE AS kw, floor(sem * 1000000 + 0.5::DOUBLE) / 1000000 AS composite FROM cand WHERE rank0 <= {C.top_k}",
     "keyword_scores": f"WITH {RT}, {KW} SELECT conv_id, chunk_ord, round(kws, 6) AS kw FROM kws",
-    "retrieve_hybrid": f"WITH {RT}, {HYBRID} SELECT conv_id, rank, chunk_ord, round(sem, 6) AS sem, round(rec, 6) AS rec, round(kw, 6) AS kw, round(composite, 6) AS composite FROM hy",
-    "result_to_dict": f"WITH {RT}, {HYBRID} SELECT conv_id, rank, chunk_ord, round(sem, 4) AS sem, round(rec, 4) AS rec, round(kw, 4) AS kw, round(composite, 4) AS composite FROM hy",
+    "retrieve_hybrid": f"WITH {RT}, {HYBRID} SELECT conv_id, rank, chunk_ord, floor(sem * 1000000 + 0.5::DOUBLE) / 1000000 AS sem, floor(rec * 1000000 + 0.5::DOUBLE) / 1000000 AS rec, floor(kw * 1000000 + 0.5::DOUBLE) / 1000000 AS kw, floor(composite * 1000000 + 0.5::DOUBLE) / 1000000 AS composite FROM hy",
+    "result_to_dict": f"WITH {RT}, {HYBRID} SELECT conv_id, rank, chunk_ord, floor(sem * 10000 + 0.5::DOUBLE) / 10000 AS sem, floor(rec * 10000 + 0.5::DOUBLE) / 10000 AS rec, floor(kw * 10000 + 0.5::DOUBLE) / 10000 AS kw, floor(composite * 10000 + 0.5::DOUBLE) / 10000 AS composite FROM hy",
     "retrieve_all": f"WITH {CH} SELECT conv_id, chunk_ord, round((row_number() OVER (PARTITION BY conv_id ORDER BY turn_start, chunk_ord) - 1) / greatest(count(*) OVER (PARTITION BY conv_id) - 1, 1)::DOUBLE, 6) AS rec FROM ch",
     "context_blocks": f"WITH {RT}, {BLOCKS} SELECT conv_id, rank, block FROM bl",
     "pack_context": f"WITH {RT}, {PACK} SELECT pk.conv_id, rank, included, partial AND NOT included AND (rank = 1 OR cum - block_tok <= budget) AS partial, pay.was_truncated, pay.token_count FROM pk JOIN pay ON pk.conv_id = pay.conv_id",

@@ -400,7 +400,8 @@ def _stateless(spark, d) -> DataFrame:
 
 
 def _scores(places: int) -> list[Column]:
-    return [F.round(c, places).alias(c) for c in ("sem", "rec", "kw", "composite")]
+    # Binary rounding, the same in every engine.
+    return [(F.floor(F.col(c) * 10**places + F.lit(0.5)) / 10**places).alias(c) for c in ("sem", "rec", "kw", "composite")]
 
 
 @query
