@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, shared_dir, steps
-from .tokens import Encoder, vocabulary
+from .tokens import Encoder, vocabulary, worker_encoder
 
 #: Bounds of the dictionary and its sample; bytes of frames in a block.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL, END_ID = 1000, 20_000, 65_536, 4 << 20, 3, 0
@@ -61,7 +61,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder = Encoder(vocabulary(tokenizer), most=1_000_000)
+        encoder = worker_encoder(tokenizer, 1_000_000)
         if len(encoder.tokenizer.get_vocab()) > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content) if content else None, write_content_size=True, write_checksum=True)

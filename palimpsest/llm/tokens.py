@@ -4,8 +4,8 @@ A text is cut where the tokenizer's own pre-tokenisation always cuts. Texts in L
 pre-tokens themselves (the published split patterns, with their classes spelled out for Latin-1, where the
 vocabularies' normalisers change no boundary). Other texts, and those that hold a special token's string, are
 cut only at spaces that follow a non-space (byte-level) or at spaces and newlines (vocabularies that drop white space).
-The tokenizers library encodes each distinct piece once per worker and memory generation; a text's ids are
-those of its pieces. The memory is cleared beyond `MOST` pieces, and long pieces are encoded by `long_text`
+The tokenizers library encodes each distinct piece once per worker and memory generation (a worker's tasks share one memory); a
+text's ids are those of its pieces. The memory is cleared beyond `MOST` pieces, and long pieces are encoded by `long_text`
 and forgotten with it, so a worker's memory is bounded.
 """
 
@@ -40,6 +40,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_encoders: dict = {}
+
+
+def worker_encoder(name: str, most: int = 600_000) -> Encoder:
+    """This worker process's encoder for a public tokenizer: later tasks find the pieces that earlier ones learnt."""
+    if (name, most) not in _encoders:
+        _encoders[name, most] = Encoder(vocabulary(name), most=most)
+    return _encoders[name, most]
+
+
 class _Codes(dict):
     """Piece -> code; a new piece gets the next code and waits in `pending` for its ids."""
 
