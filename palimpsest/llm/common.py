@@ -7,9 +7,12 @@ table gives an empty result with the same columns.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,13 @@ def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: with whole texts in them, the session's usual number would hold a worker's memory many times over.
+BATCH_ROWS = 500
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (doc_id, text), a null text as an empty one."""
+    """Only (doc_id, text), a null text as an empty one. The session's Arrow batches become small ones."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -75,6 +83,23 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
             first = last
 
 
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that gives its worker's freed memory back to the system when a task ends: idle workers stay small."""
+
+    @wraps(run)
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for k in range(2):
+                _powers[k] = np.ones(1, np.uint64)
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return leaner
+
+
 #: Odd multiplier of the prefix hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -163,3 +188,49 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
 def segment_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=None if values.dtype.kind == "f" else np.int64)])
     return total[offs[1:]] - total[offs[:-1]]
+
+
+# -- Keys that are met twice -----------------------------------------------------------------------------
+
+#: Bits of a table of shared keys, whatever the input: 32 MB.
+TABLE_BITS = 28
+
+
+def key_bits(total: int) -> int:
+    """Leading bits of a 64-bit key that tell about `total` keys apart."""
+    return min(32 + TABLE_BITS - 3, max(40, int(total).bit_length() + 8))
+
+
+def packed_keys(key: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+    """Sorted distinct keys of a step as 32-bit rests by bucket; one that the step itself has met twice is written twice."""
+    bucket = (key >> np.uint64(32)).astype(np.int64)
+    low = key.astype(np.uint32)
+    cuts = np.searchsorted(bucket, np.arange(int(bucket[-1]) + 2))
+    full = np.flatnonzero(np.diff(cuts))
+    rows = [np.concatenate([low[cuts[b] : cuts[b + 1]], low[cuts[b] : cuts[b + 1]][shared[cuts[b] : cuts[b + 1]]]]).tobytes() for b in full]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
+
+
+def shared_table(packed: DataFrame, bits: int):
+    """A broadcast bit table in which each key that was met twice has its bit set. Other keys may hit a set bit, so a hit is a candidate and nothing more."""
+    kept = TABLE_BITS - (bits - 32)
+
+    def part(key: tuple, table: pa.Table) -> pa.Table:
+        low = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("packed").combine_chunks()]))
+        twice = low[1:][low[1:] == low[:-1]]
+        flags = np.zeros(1 << kept, bool)
+        flags[twice >> np.uint32(32 - kept)] = True
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    width = (1 << kept) // 8
+    flags = np.zeros((1 << (bits - 32)) * width, np.uint8)
+    for r in packed.groupBy("bucket").applyInArrow(part, "bucket int, flags binary").collect():
+        flags[r.bucket * width : (r.bucket + 1) * width] = np.frombuffer(r.flags, np.uint8)
+    return packed.sparkSession.sparkContext.broadcast(flags.tobytes())
+
+
+def in_table(table, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys have their bit set."""
+    flags = np.frombuffer(table.value, np.uint8)
+    slot = keys >> np.uint64(64 - TABLE_BITS)
+    return ((flags[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)

@@ -4,8 +4,8 @@
 2. Nodes that could link are brought together. For sizes up to M two linked sets differ in D shingles at most, so when a hash deals
    the shingles to P > D parts, one part at least is the same in both. A node sends a hash of each part; nodes that share one are
    neighbours. P leaves room for empty parts, and a node with more empty parts than that sends those too, so no link is missed.
-   Common passages don't matter: a part is spread over the whole text. Part hashes travel as packed arrays, one for each
-   bucket, after copies of a node in a task's step have become one.
+   Common passages don't matter: a part is spread over the whole text. A first pass sets the bits of part hashes that are met
+   twice in a table of fixed size, a second sends only those, as packed arrays by bucket, after copies of a node in a task's step have become one.
 3. Clusters of neighbours (connected components) are cut into tiles of bounded size; every two tiles of a cluster meet in one task. There, nodes are
    put into groups of similar ones. A token-group matrix holds the union of each group's shingles; a node's
    overlap with the union bounds its overlap with every member, and only groups whose bound reaches the needed overlap are opened. In an opened group, members that
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, documents, mix, shingles, staged, steps, text_bytes
+from .common import Words, documents, in_table, key_bits, lean, mix, packed_keys, shared_table, shingles, staged, steps, text_bytes
 from .graph import components
 
 #: Growth of the size classes; bytes of part hashes in a bucket; shingles in a tile; groups in a tile's matrix; text bytes of a step.
-LADDER, BUCKET_BYTES, TILE_TOKENS, GROUPS, STEP = 1.5, 8 << 20, 1 << 20, 64, 4 << 20
+LADDER, BUCKET_BYTES, TILE_TOKENS, GROUPS, STEP = 2.0, 8 << 20, 1 << 19, 64, 2 << 20
 
 
 def shingle_sets(array: pa.Array, width: int) -> list[np.ndarray]:
@@ -82,13 +82,14 @@ class Parts:
     def of(self, tokens: np.ndarray) -> list[np.ndarray]:
         n = len(tokens)
         k = int(np.searchsorted(self.bounds, n, "right")) - 1
+        deal, weigh = mix(tokens, 21), mix(tokens, 22)
         out = []
         while self.bounds[k] <= n * 100 // self.percent:
             differ, parts, spare = self.shape(k)
             if differ:
-                part = (mix(tokens, 21) % np.uint64(parts)).astype(np.int64)
+                part = (deal % np.uint64(parts)).astype(np.int64)
                 sums = np.zeros(parts, np.uint64)
-                np.add.at(sums, part, mix(tokens, 22))
+                np.add.at(sums, part, weigh)
                 full = np.bincount(part, minlength=parts) > 0
                 hashes = mix(sums + mix(np.arange(parts, dtype=np.uint64), 23) * np.uint64(2 * k + 1), 24)
                 out.append(hashes if parts - full.sum() > spare else hashes[full])
@@ -105,19 +106,36 @@ def _members(width: int):
     return run
 
 
-def _sender(width: int, percent: int, buckets: int):
+def _hashes(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(part hashes, their nodes) of each step; copies of a node in a step are one."""
+    parts = Parts(percent)
+    for batch in steps(batches, most=STEP):
+        nodes = {node_of(s): s for s in shingle_sets(batch.column("text"), width) if len(s)}
+        rows = [(h, node) for node, tokens in nodes.items() for h in parts.of(tokens)]
+        if rows:
+            yield np.concatenate([h for h, _ in rows]), np.repeat(np.array([node for _, node in rows], np.int64), [len(h) for h, _ in rows])
+
+
+def _sharers(width: int, percent: int, bits: int):
+    """First pass: which part hashes are there at all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(percent)
-        for batch in steps(batches, most=STEP):
-            nodes = {node_of(s): s for s in shingle_sets(batch.column("text"), width) if len(s)}
-            hashes, owners = [], []
-            for node, tokens in nodes.items():
-                for h in parts.of(tokens):
-                    hashes.append(h)
-                    owners.append(np.full(len(h), node, np.int64))
-            if not hashes:
+        for h, _ in _hashes(batches, width, percent):
+            key, count = np.unique(h >> np.uint64(64 - bits), return_counts=True)
+            yield packed_keys(key, count > 1)
+
+    return run
+
+
+def _sender(width: int, percent: int, buckets: int, table):
+    """Second pass: the part hashes that two nodes may share, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, o in _hashes(batches, width, percent):
+            hit = in_table(table, h)
+            h, o = h[hit], o[hit]
+            if len(h) == 0:
                 continue
-            h, o = np.concatenate(hashes), np.concatenate(owners)
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             h, o = h[order], o[order]
@@ -201,9 +219,10 @@ def link_tile(sets: list[np.ndarray], side: np.ndarray, percent: int, groups: in
 def _verify(width: int, percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         found = {}
-        for node, tile, tokens in zip(table.column("node").to_pylist(), table.column("tile").to_pylist(), shingle_sets(table.column("text"), width), strict=True):
-            if node_of(tokens) == node:  # another row of the same doc_id has another text
-                found[node] = (tokens, tile)
+        for batch in steps(iter(table.select(["node", "tile", "text"]).to_batches()), most=STEP):
+            for node, tile, tokens in zip(batch.column("node").to_pylist(), batch.column("tile").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
+                if node_of(tokens) == node:  # another row of the same doc_id has another text
+                    found[node] = (tokens, tile)
         nodes = list(found)
         same = key[1].as_py() == key[2].as_py()
         side = np.array([2 if same else int(found[k][1] == key[2].as_py()) for k in nodes])
@@ -216,10 +235,12 @@ def _verify(width: int, percent: int):
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, node) for each row: component_id is the smallest doc_id that links reach, node the row's shingle set."""
     docs = documents(docs)
-    members = staged(docs.mapInArrow(_members(width), "doc_id long, n_shingles long, node long"), "ngram-members")
+    members = staged(docs.mapInArrow(lean(_members(width)), "doc_id long, n_shingles long, node long"), "ngram-members")
     total = members.agg(F.sum("n_shingles")).collect()[0][0] or 0
     buckets = int(max(16, total * 16 * 3 * (100 - percent) / 100 // BUCKET_BYTES))
-    packed = docs.mapInArrow(_sender(width, percent, buckets), "bucket int, packed binary")
+    bits = key_bits(total)
+    table = shared_table(docs.mapInArrow(lean(_sharers(width, percent, bits)), "bucket int, packed binary"), bits)
+    packed = docs.mapInArrow(lean(_sender(width, percent, buckets, table)), "bucket int, packed binary")
     near = staged(packed.groupBy("bucket").applyInArrow(_neighbours, "a long, b long").distinct(), "ngram-near")
     clusters = components(near)
     names = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("name"), F.max("n_shingles").alias("n"))
@@ -227,7 +248,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     weight = placed.groupBy("component").agg(F.sum("n").alias("tokens"))
     placed = placed.join(weight, "component").withColumn("tiles", F.ceil(F.col("tokens") / TILE_TOKENS).cast("int"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    texts = placed.join(docs, F.col("name").eqNullSafe(F.col("doc_id"))).select("component", "node", "tile", "tiles", "text")
+    # A merge join at every size: the clusters grow with the input, so they are never broadcast.
+    texts = placed.hint("merge").join(docs, F.col("name").eqNullSafe(F.col("doc_id"))).select("component", "node", "tile", "tiles", "text")
     # Every two tiles of a cluster meet once; a cluster of one tile, the usual case, is sent once.
     met = texts.select("component", "node", "tile", "text", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     met = met.select("component", "node", "tile", "text", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"))
@@ -244,4 +266,4 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """docs with one document of each group: the one that gives the group its name. Rows with equal doc_id and text are one document."""
     classes = jaccard_classes(docs, width, percent)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi").dropDuplicates(["doc_id", "text"])
