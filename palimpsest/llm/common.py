@@ -44,9 +44,9 @@ def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
 BATCH_ROWS = 500
 
 
-def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = BATCH_ROWS) -> DataFrame:
     """Only (doc_id, text), a null text as an empty one. The session's Arrow batches become small ones."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
