@@ -167,7 +167,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken = taken.select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("size_"), "copies_")
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (size == F.col("size_"))
-    joined = docs.join(taken, same)
+    joined = docs.join(taken.hint("merge"), same)
     return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, documents, mix, prefix_hash, segment_sums, shingles, span_hash, steps, text_bytes
+from .common import SPACE, Words, documents, lean, mix, prefix_hash, segment_sums, shingles, span_hash, steps, text_bytes
 
 #: Production parameters.
 MAX_LABELLED, BITS, THRESHOLD, MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 2000, 15, 0.5, 20, 30, 8
@@ -191,7 +191,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRE
             columns = [batch.column("doc_id"), *(pa.array(out[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(~failed & (chance >= threshold)), pa.array(chance)]
             yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in SCHEMA.split(", ")])
 
-    return documents(docs).mapInArrow(score, SCHEMA)
+    return documents(docs).mapInArrow(lean(score), SCHEMA)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -203,4 +203,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
             _, failed, chance = _measured(batch, model, threshold)
             yield batch.filter(pa.array(~failed & (chance >= threshold)))
 
-    return docs.mapInArrow(passed, docs.schema)
+    return docs.mapInArrow(lean(passed), docs.schema)
