@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix, prefix_hash, span_hash, steps, text_bytes
+from .common import documents, in_table, key_bits, lean, mix, packed_keys, prefix_hash, shared_table, span_hash, steps, text_bytes
 
-#: Bytes of a repeated string; bytes of a gram; bits of the table of shared minimizers; text bytes of a shard, of a step and of a segment of a long text;
+#: Bytes of a repeated string; bytes of a gram; text bytes of a shard, of a step and of a segment of a long text;
 #: suffixes that a queue keeps in memory.
-LENGTH, GRAM, TABLE_BITS, SHARD_BYTES, STEP, SEGMENT, QUEUE_ITEMS = 50, 16, 28, 8 << 20, 4 << 20, 4 << 20, 1 << 24
+LENGTH, GRAM, SHARD_BYTES, STEP, SEGMENT, QUEUE_ITEMS = 50, 16, 2 << 20, 2 << 20, 4 << 20, 1 << 24
 
 
 class BucketQueue:
@@ -267,32 +267,12 @@ def _sharers(bits: int):
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             shared = owner[head] != owner[np.append(head[1:], len(key)) - 1]
             key = key[head]
-            bucket = (key >> np.uint64(32)).astype(np.int64)
-            low = key.astype(np.uint32)
-            cuts = np.searchsorted(bucket, np.arange(int(bucket[-1]) + 2))
-            full = np.flatnonzero(np.diff(cuts))
-            # A shared minimizer is written twice: it then counts as met in two steps.
-            rows = [np.concatenate([low[cuts[b] : cuts[b + 1]], low[cuts[b] : cuts[b + 1]][shared[cuts[b] : cuts[b + 1]]]]).tobytes() for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
-
-    return run
-
-
-def _slice_bits(bits: int):
-    """The part of the table that a bucket fills: a bit for each minimizer that was met twice."""
-    kept = TABLE_BITS - (bits - 32)
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        low = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("packed").combine_chunks()]))
-        twice = low[1:][low[1:] == low[:-1]]
-        flags = np.zeros(1 << kept, bool)
-        flags[twice >> np.uint32(32 - kept)] = True
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+            yield packed_keys(key, shared)
 
     return run
 
 
-_PIECE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("windows", "<i4")])
+_PIECE = np.dtype([("content", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("windows", "<i4")])
 
 
 def _sender(bits: int, shards: int, table):
@@ -302,11 +282,9 @@ def _sender(bits: int, shards: int, table):
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=1)
-        flags = np.frombuffer(table.value, np.uint8)
         for raw, offs, doc, row, base in _segments(batches):
             text, at, windows, key, c = _runs(raw, offs)
-            slot = key >> np.uint64(64 - TABLE_BITS)
-            hit = ((flags[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
+            hit = in_table(table, key)
             text, at, windows, key = text[hit], at[hit], windows[hit], key[hit]
             if len(key) == 0:
                 continue
@@ -317,7 +295,7 @@ def _sender(bits: int, shards: int, table):
             late = doc[text] != doc[text[np.flatnonzero(head)]][np.cumsum(head) - 1]
             shard = (mix(key, 93) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            text, at, windows, late, shard = (x[order] for x in (text, at, windows, late, shard))
+            text, at, windows, late, shard, content = (x[order] for x in (text, at, windows, late, shard, content))
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             full = np.flatnonzero(np.diff(cuts))
             blobs = []
@@ -325,7 +303,7 @@ def _sender(bits: int, shards: int, table):
                 pick = slice(cuts[b], cuts[b + 1])
                 piece = np.zeros(cuts[b + 1] - cuts[b], _PIECE)
                 t, begin, w = text[pick], at[pick], windows[pick]
-                piece["doc"], piece["row"], piece["at"] = doc[t], row[t], begin - offs[t] + base[t]
+                piece["content"], piece["doc"], piece["row"], piece["at"] = content[pick], doc[t], row[t], begin - offs[t] + base[t]
                 piece["windows"] = np.where(late[pick], -w, w)
                 size = np.where(late[pick], 0, w + LENGTH - 1)
                 total = np.cumsum(size)
@@ -370,6 +348,15 @@ def _sort_shard(key: tuple, table: pa.Table) -> pa.Table:
     p, body = np.concatenate(pieces), np.concatenate(bodies)
     done = p[p["windows"] < 0]
     live = p[p["windows"] > 0]
+    # Of pieces of one content only the smallest document's is sorted: the others' windows all stand in it.
+    order = np.lexsort((live["doc"], live["content"]))
+    head = np.concatenate([[True], live["content"][order][1:] != live["content"][order][:-1]]) if len(live) else np.zeros(0, bool)
+    late = np.zeros(len(live), bool)
+    late[order] = live["doc"][order] != live["doc"][order][np.flatnonzero(head)][np.cumsum(head) - 1] if len(live) else False
+    done = np.concatenate([done, live[late]])
+    done["windows"] = np.abs(done["windows"])
+    body = body[np.repeat(~late, live["windows"] + LENGTH - 1)]
+    live = live[~late]
     size = live["windows"].astype(np.int64) + LENGTH - 1
     begin = np.cumsum(size + 1) - size - 1
     s = np.zeros(int((size + 1).sum()), np.int16)
@@ -388,7 +375,7 @@ def _sort_shard(key: tuple, table: pa.Table) -> pa.Table:
     at = live["at"][own] + (gone - begin[own])
     return _joined(
         np.concatenate([live["doc"][own], done["doc"]]), np.concatenate([live["row"][own], done["row"]]),
-        np.concatenate([at, done["at"]]), np.concatenate([at + LENGTH, done["at"] - done["windows"] + LENGTH - 1]),
+        np.concatenate([at, done["at"]]), np.concatenate([at + LENGTH, done["at"] + done["windows"] + LENGTH - 1]),
     )
 
 
@@ -417,16 +404,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = documents(docs).withColumn("row", F.xxhash64("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    bits = min(32 + TABLE_BITS - 3, max(40, int(total).bit_length() + 8))
-    shared = docs.mapInArrow(_sharers(bits), "bucket int, packed binary").groupBy("bucket").applyInArrow(_slice_bits(bits), "bucket int, flags binary")
-    # The table has 2**TABLE_BITS bits whatever the input: 32 MB.
-    width = (1 << (TABLE_BITS - (bits - 32))) // 8
-    flags = np.zeros((1 << (bits - 32)) * width, np.uint8)
-    for r in shared.collect():
-        flags[r.bucket * width : (r.bucket + 1) * width] = np.frombuffer(r.flags, np.uint8)
-    table = spark.sparkContext.broadcast(flags.tobytes())
+    bits = key_bits(total)
+    table = shared_table(docs.mapInArrow(lean(_sharers(bits)), "bucket int, packed binary"), bits)
     shards = int(max(16, total // SHARD_BYTES))
-    pieces = docs.mapInArrow(_sender(bits, shards, table), "shard int, packed binary")
+    pieces = docs.mapInArrow(lean(_sender(bits, shards, table)), "shard int, packed binary")
     return pieces.groupBy("shard").applyInArrow(_sort_shard, "doc long, row long, spans binary")
 
 
