@@ -69,24 +69,27 @@ def train(texts: list[str], good: np.ndarray, bits: int = BITS, rounds: int = 10
     """Weighted logistic regression on hashed n-grams; three quarters fit the weights, one quarter the calibration."""
     if len(texts) == 0 or good.min() == good.max():
         return None
-    raw, offs = text_bytes(pa.array(texts, pa.large_string()))
-    words = Words(raw, offs)
     width = 1 << bits
     n = len(texts)
     rows, cols, values = [], [], []
 
-    def put(slot: np.ndarray, text: np.ndarray, total: np.ndarray, base: int) -> None:
+    def put(slot: np.ndarray, text: np.ndarray, total: np.ndarray, base: int, first: int) -> None:
         key, count = np.unique(text.astype(np.int64) * width + slot, return_counts=True)
-        rows.append(key // width)
-        cols.append(key % width + base)
+        rows.append((key // width + first).astype(np.int32))
+        cols.append((key % width + base).astype(np.int32))
         values.append(count / np.maximum(total, 1)[key // width])
 
-    put((words.hashes() >> np.uint64(64 - bits)).astype(np.int64), words.text_of(), words.counts, 0)
-    size = np.diff(offs)
-    owner = np.repeat(np.arange(n), size)
-    for slot, k in _grams(raw, offs, bits):
-        inside = owner[: len(slot)] == owner[k - 1 :]
-        put(slot[inside].astype(np.int64), owner[: len(slot)][inside], size, width)
+    first = 0
+    for batch in steps(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])]), most=1 << 19):
+        raw, offs = text_bytes(batch.column("text"))
+        words = Words(raw, offs)
+        put((words.hashes() >> np.uint64(64 - bits)).astype(np.int64), words.text_of(), words.counts, 0, first)
+        size = np.diff(offs)
+        owner = np.repeat(np.arange(len(size)), size)
+        for slot, k in _grams(raw, offs, bits):
+            inside = owner[: len(slot)] == owner[k - 1 :]
+            put(slot[inside].astype(np.int64), owner[: len(slot)][inside], size, width, first)
+        first += len(size)
     row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
     scale = 20.0
     value = value * scale
