@@ -36,6 +36,14 @@ _MARKUP = re.compile(
 _ASIDE = frozenset("nav footer aside form menu dialog button figure video audio head".split())
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# End tags that may be left out. A start tag of a key ends an open element of its first set, up to one of its second set.
+_CELLS = frozenset("table td th caption".split())
+_ENDS = {x: (frozenset(["p"]), _CELLS | {"button"}) for x in _BLOCK - frozenset("body br caption head html legend tbody td tfoot th thead tr".split()) | {"form", "menu", "nav", "dialog"}}
+_ITEM_ENDS = {
+    "li": (frozenset(["li"]), _CELLS | {"ul", "ol", "menu"}), "dt": (frozenset(["dt", "dd"]), _CELLS | {"dl"}), "dd": (frozenset(["dt", "dd"]), _CELLS | {"dl"}), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "tr": (frozenset(["tr", "caption"]), frozenset(["table"])), **{x: (frozenset("thead tbody tfoot caption".split()), frozenset(["table"])) for x in ("thead", "tbody", "tfoot")},
+}
+_TABLE = frozenset("table caption thead tbody tfoot tr td th html body".split())
 _NAMES = re.compile(r"""\b(?:class|id|role|data-role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _CHROME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|footer|sidebar|side-bar|aside|widget|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|toolbar|pagination|pager|masthead|complementary|contentinfo|skip-link|hidden)(?:$|[\s_-])",
@@ -45,12 +53,34 @@ _HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _SPACES = re.compile(r"\s+")
 
 
+def _end(opened: list[str], names: frozenset[str], border: frozenset[str]) -> None:
+    """End the innermost open element of `names` and what is open in it, unless one of `border` lies between."""
+    for k in range(len(opened) - 1, -1, -1):
+        if opened[k] in names:
+            del opened[k:]
+            return
+        if opened[k] in border:
+            return
+
+
+def _end_tag(opened: list[str], name: str) -> None:
+    if name in _TABLE:
+        border = frozenset() if name in ("table", "html", "body") else frozenset(["table"])
+    elif name in _BLOCK or name in _ASIDE:
+        border = _CELLS | {"ul", "ol", "menu"} if name == "li" else _CELLS | {"button"} if name == "p" else _CELLS
+    else:
+        border = _BLOCK
+    _end(opened, frozenset([name]), border)
+
+
 def blocks_of(html: str) -> tuple[list[str], list[str]]:
     """The texts of a page's article blocks and of its open blocks, in page order."""
     main: list[str] = []
     free: list[str] = []
     held: list[str] = []
-    inside, skip, skip_depth, at = 0, "", 0, 0
+    opened: list[str] = []
+    # Elements that are open around the one that is left out; -1: none is.
+    inside, skip, at = 0, -1, 0
 
     def close() -> None:
         text = _SPACES.sub(" ", unescape("".join(held))).strip()
@@ -59,27 +89,35 @@ def blocks_of(html: str) -> tuple[list[str], list[str]]:
             (main if inside else free).append(text)
 
     for m in _MARKUP.finditer(html):
-        if not skip and m.start() > at:
+        if skip < 0 and m.start() > at:
             held.append(html[at : m.start()])
         at = m.end()
         name = m[4]
         if name is None:
             if m[1] and m[1].lower() not in ("math", "svg"):
-                held.append("" if skip else " ")
+                held.append(" " if skip < 0 else "")
             continue
         name, end = name.lower(), bool(m[3])
-        if skip:
-            if name == skip:
-                skip_depth += -1 if end else 1
-                if skip_depth == 0:
-                    skip = ""
-            continue
+        if end:
+            _end_tag(opened, name)
+        else:
+            for ends in (_ENDS, _ITEM_ENDS):
+                if name in ends:
+                    _end(opened, *ends[name])
+        if skip >= 0:
+            if len(opened) > skip:
+                if not end and name not in _VOID:
+                    opened.append(name)
+                continue
+            skip = -1
         if name in _BLOCK:
             close()
         if end:
             if name in ("article", "main") and inside:
                 inside -= 1
             continue
+        if name not in _VOID:
+            opened.append(name)
         drop = name in _ASIDE or (name == "header" and not inside)
         attributes = m[5]
         if not drop and attributes and name not in ("html", "body", "article", "main"):
@@ -88,10 +126,10 @@ def blocks_of(html: str) -> tuple[list[str], list[str]]:
                 drop = drop or bool(_CHROME.search(value)) or (not inside and bool(_HEADER.search(value)))
         if drop and name not in _VOID:
             close()
-            skip, skip_depth = name, 1
+            skip = len(opened) - 1
         elif name in ("article", "main"):
             inside += 1
-    if not skip and at < len(html):
+    if skip < 0 and at < len(html):
         held.append(html[at:])
     close()
     return main, free

@@ -248,6 +248,25 @@ def test_html(spark):
     assert main_text(pages.where("false")).count() == 0
 
 
+def test_html_omitted_end_tags():
+    from palimpsest.llm.html_text import blocks_of
+
+    cases = {
+        '<article><p class="ad">Buy<p>Real one</p><p>Real two</p></article><footer>Foot</footer>': ["Real one", "Real two"],
+        '<article><p class="ad">Buy<div>Real</div></article>': ["Real"],
+        '<article><ul><li class="share">Like<li>Real item<li>Other</ul><p>After</article>': ["Real item", "Other", "After"],
+        '<article><ul><li class="share">Like<ul><li>Inner</ul><li>Real item</ul></article>': ["Real item"],
+        "<article><p>One<aside>Side<p>More</article><main>Two</main>": ["One", "Two"],
+        '<article><div class="ad"><p>Buy</p><div>This</div><p>Now</div><p>Real</article>': ["Real"],
+        '<article><p>Text <span class="ad">buy</p><p>Real</article>': ["Text", "Real"],
+        '<article><table><tr><td class="ad">Buy<td>Cell<tr><td>Next</table></article>': ["Cell", "Next"],
+        '<article><aside>Side</b></i></aside>Real</article>': ["Real"],
+    }
+    for html, due in cases.items():
+        assert blocks_of(html)[0] == due, html
+    assert blocks_of('<div><p class="ad">Buy<p>Real</div><form>Mail</div></form><p>End')[1] == ["Real", "End"]
+
+
 def test_quality(spark, docs, none, sf):
     from palimpsest.llm.quality import keep_quality, quality_verdicts, train
 
