@@ -1,11 +1,12 @@
-"""Main text of web pages: element rules where the page marks its article, a host's suffix array where it doesn't.
+"""Main text of web pages: element rules where the page marks its article, a host's repeated blocks where it doesn't.
 
 A page's markup is cut into blocks. Blocks inside `article` or `main` are the main text; blocks inside menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, media and reader comments (by element, role, class or id) are not. What is neither
-is open. On pages that mark no article, open blocks are settled by the host: the token streams of all its pages' open blocks are laid end to
-end, their suffixes are sorted to RUN tokens deep, a substring of RUN tokens or more that stands in two distinct pages is boilerplate, and the
-runs of tokens that none covers are kept. Suffixes are dealt by (host, hash of the first RUN tokens), so neighbours in the
-suffix array meet in one place and a host with a third of all pages is spread over all tasks.
+is open. On pages that mark no article, open blocks are settled by the host: a run of whole neighbouring blocks with RUN tokens or more
+that stands on MANY pages with distinct contents (on both, where the host has two) is boilerplate, and the other blocks are kept whole.
+A phrase inside a block never counts, and pages with equal contents are copies and count once. Where all of a page's blocks are such runs, those on the
+fewest pages are its own text (a copied article), unless all stand on equally many. Every repeat of that size has a shortest run from each
+of its blocks on or back, so only those are sent, by (host, hash of the run): a host with a third of all pages is spread over all tasks.
 
 Articles that are copies of each other keep their text: repetition decides only about open blocks. Character references are
 decoded, white space in a block becomes one space, blocks are joined in page order by one space. Null or empty html: an empty text. Null urls
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, shingles, span_hash, staged
+from .common import mix, prefix_hash, span_hash, staged
 
-#: Tokens of the shortest substring that counts as boilerplate.
-RUN = 6
+#: Tokens of the shortest run of blocks that counts as boilerplate; pages that it stands on; parts of a host's runs in a join.
+RUN, MANY, PARTS = 6, 3, 64
 
 _ATTRIBUTES = r"""((?:"[^"]*"|'[^']*'|[^'">])*)"""
 _MARKUP = re.compile(
@@ -135,7 +136,7 @@ def blocks_of(html: str) -> tuple[list[str], list[str]]:
     return main, free
 
 
-PARSED = "page_key long, page_id long, url string, host string, has_main boolean, text string, open array<string>"
+PARSED = "page_id long, url string, host string, has_main boolean, text string, open array<string>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,39 +146,53 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = blocks_of(html or "")
             main.append(a)
             free.append(b)
-        columns = [batch.column(c) for c in ("page_key", "page_id", "url", "host")]
+        columns = [batch.column(c) for c in ("page_id", "url", "host")]
         columns += [pa.array([bool(a) for a in main]), pa.array([" ".join(a) for a in main], pa.string()), pa.array(free, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in PARSED.split(", ")])
 
 
-def _tokens(blocks: list[str]) -> tuple[list[str], np.ndarray]:
-    words = [w for b in blocks for w in b.split(" ")]
-    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
-    sizes = np.array([len(w.encode()) for w in words], np.int64)
-    start = np.cumsum(sizes + 1) - sizes - 1
-    return words, span_hash(prefix_hash(raw), start, start + sizes)
+def _runs(blocks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last block (exclusive) and hash of the shortest runs of RUN tokens or more, from each block on and back."""
+    ends = np.cumsum([b.count(" ") + 1 for b in blocks])
+    starts = np.concatenate([[0], ends])[:-1]
+    on = np.searchsorted(ends, starts + RUN)
+    back = np.searchsorted(starts, ends - RUN, "right") - 1
+    at = np.arange(len(blocks))
+    pairs = np.concatenate([np.stack([at, on + 1], 1)[on < len(blocks)], np.stack([back, at + 1], 1)[back >= 0]])
+    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+    sizes = np.array([len(b.encode()) + 1 for b in blocks], np.int64)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    raw = np.frombuffer("".join(b + "\n" for b in blocks).encode(), np.uint8)
+    return pairs[:, 0], pairs[:, 1], mix(span_hash(prefix_hash(raw), edges[pairs[:, 0]], edges[pairs[:, 1]])).view(np.int64)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each suffix of a page's token stream: the hash of its first RUN tokens and its place."""
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct run of a page."""
     for batch in batches:
         for key, host, blocks in zip(batch.column("page_key").to_pylist(), batch.column("host").to_pylist(), batch.column("open").to_pylist(), strict=True):
-            words, hashes = _tokens(blocks)
-            runs, _ = shingles(hashes, np.array([0, len(words)]), RUN)
+            runs = np.unique(_runs(blocks)[2]) if blocks else np.zeros(0, np.int64)
             n = len(runs)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array(mix(runs).view(np.int64)), pa.array([key] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32))], ["host", "prefix", "page_key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array(runs), pa.array([key] * n, pa.int64())], ["host", "run", "page_key"])
 
 
-def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def own_blocks(blocks: list[str], repeated: dict[int, int]) -> list[str]:
+    """A page's open blocks without boilerplate; repeated: hash of a run -> pages that it stands on."""
+    if not blocks or not repeated:
+        return blocks
+    pages = np.zeros(len(blocks), np.int64)
+    for first, last, run in zip(*(x.tolist() for x in _runs(blocks)), strict=True):
+        pages[first:last] = np.maximum(pages[first:last], repeated.get(run, 0))
+    # The least is 0 where the page has blocks of its own.
+    least = int(pages.min())
+    return [b for b, n in zip(blocks, pages.tolist(), strict=True) if n == least and (n == 0 or n < pages.max())]
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for blocks, starts in zip(batch.column("open").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-            words = [w for b in blocks for w in b.split(" ")]
-            kept = np.ones(len(words), bool)
-            for s in starts or []:
-                kept[s : s + RUN] = False
-            texts.append(" ".join(w for w, k in zip(words, kept.tolist(), strict=True) if k))
+        for blocks, repeated in zip(batch.column("open").to_pylist(), batch.column("repeated").to_pylist(), strict=True):
+            texts.append(" ".join(own_blocks(blocks, {r["run"]: r["pages"] for r in repeated or []})))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -185,14 +200,20 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row of pages."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.xxhash64("page_id", "url", "html").alias("page_key"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").alias("html"))
     parsed = rows.mapInArrow(_parse, PARSED)
     marked = parsed.where("has_main").select("page_id", "url", "text")
-    # Only open blocks are staged: the articles go straight to the result.
-    free = staged(parsed.where("size(open) > 0 or not has_main").drop("text"), "pages-open")
-    suffixes = free.dropDuplicates(["page_key"]).select("page_key", "host", "open").mapInArrow(_suffixes, "host string, prefix long, page_key long, at int")
-    repeated = suffixes.groupBy("host", "prefix").agg(F.min("page_key").alias("a"), F.max("page_key").alias("b")).where("a < b").select("host", "prefix")
+    # Only open blocks are staged: the articles go straight to the result. A page's key is its contents.
+    key = F.xxhash64("host", "has_main", "text", F.to_json("open"))
+    free = staged(parsed.where("size(open) > 0 or not has_main").withColumn("page_key", key).drop("text"), "pages-open")
+    contents = free.dropDuplicates(["page_key"]).select("page_key", "host", "open", "has_main")
+    runs = contents.mapInArrow(_sent, "host string, run long, page_key long")
+    counts = runs.groupBy("host", "run").agg(F.count("*").alias("pages")).where("pages > 1")
+    # A host of two pages: its row goes to each part, so that no host's runs come together in one.
+    pairs = contents.groupBy("host").count().where("count = 2").select("host", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    few = counts.where(F.col("pages") < MANY).withColumn("part", F.pmod("run", F.lit(PARTS)).cast("int")).join(pairs, ["host", "part"], "left_semi").drop("part")
+    repeated = counts.where(F.col("pages") >= MANY).unionByName(few)
     unmarked = free.where("not has_main")
-    starts = suffixes.join(unmarked.select("page_key").distinct(), "page_key", "left_semi").join(repeated, ["host", "prefix"], "left_semi").groupBy("page_key").agg(F.sort_array(F.collect_list("at")).alias("starts"))
-    settled = unmarked.join(starts, "page_key", "left").select("page_id", "url", "open", "starts").mapInArrow(_uncovered, "page_id long, url string, text string")
+    found = runs.join(unmarked.select("page_key").distinct(), "page_key", "left_semi").join(repeated, ["host", "run"]).groupBy("page_key").agg(F.collect_list(F.struct("run", "pages")).alias("repeated"))
+    settled = unmarked.join(found, "page_key", "left").select("page_id", "url", "open", "repeated").mapInArrow(_settled, "page_id long, url string, text string")
     return marked.unionByName(settled)

@@ -248,6 +248,20 @@ def test_html(spark):
     assert main_text(pages.where("false")).count() == 0
 
 
+def test_html_unmarked_pages(spark):
+    from palimpsest.llm.html_text import main_text
+
+    menu, phrase = "<div>Home About</div><div>Contact</div><div>Terms Privacy Imprint now</div>", "as a matter of fact it is so"
+    article = "<p>A copied article with quite a few words in it</p><p>And more</p>"
+    bodies = [f"{menu}<p>Page {k} says that {phrase} on day {k}</p>" for k in range(6)]
+    bodies += [menu + article] * 2 + [menu + article + "<div>Seen before</div>", "<div>Contact</div><p>Alone</p>"]
+    rows = [(k, f"http://h.x/{k}", b) for k, b in enumerate(bodies)] + [(20 + k, f"http://i.x/{k}", article) for k in range(3)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    copied = "A copied article with quite a few words in it And more"
+    due = {k: f"Page {k} says that {phrase} on day {k}" for k in range(6)} | {6: copied, 7: copied, 8: copied + " Seen before", 9: "Contact Alone"} | {20 + k: copied for k in range(3)}
+    assert got == due
+
+
 def test_html_omitted_end_tags():
     from palimpsest.llm.html_text import blocks_of
 
