@@ -8,8 +8,8 @@ rest, down to single shards. A source's permuted blocks are then dealt out in di
 ordered by a hash of shard, row and pass.
 
 Targets: sources in code point order (null last) weigh 1, 2, 3, repeating, and share the sum of all sizes; a target stops at 3 times its
-source's size and the excess goes to the others by weight until none is above. The last pass takes documents in order up to the first
-that doesn't fit; then those of the next FILLERS smaller ones that still fit, in order, fill the rest.
+source's size and the excess goes to the others by weight until none is above. The last pass takes each document, in order, that still fits:
+it skips one that doesn't and goes on, by running sums over blocks and then over the documents of one block, until no document of the source is left that fits.
 
 Null or empty text: size 0, it may be placed but takes no words. Null sources are one source. Rows with equal ids and sizes are
 interchangeable. All-empty input: targets are 0. Reruns agree: every draw is a hash of fixed values.
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Blocks of a source; words of a shard; at most this many shards; documents tried for the rest of a quota; seed of all draws.
+#: Blocks of a source; words of a shard; at most this many shards; documents tried for the rest of a quota (in the SQL only); seed of all draws.
 BLOCKS, SHARD_WORDS, MOST_SHARDS, FILLERS, SEED = 4096, 1 << 22, 1024, 64, 20240229
+#: A source with this many documents left that may fit is settled at once.
+LAST = 1024
 _BITS = 60
 
 
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, source, size, source_size, target, placements): placements holds a (shard, order) for each time that the mix takes the document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, _BITS // 4), 16, 10).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("size"), key.alias("key"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row"))
     rows = staged(rows.withColumn("block", F.shiftright("key", _BITS - (BLOCKS.bit_length() - 1))), "mix-rows")
     by_source = staged(targets(rows), "mix-sources")
     known = by_source.select("source", "place", "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"))
@@ -118,13 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = staged(placed, "mix-placed")
     gaps = placed.groupBy("place").agg((F.max("part") - F.sum(F.when(F.col("taken_part"), F.col("size")).otherwise(0))).alias("gap"))
     small = placed.where(~F.col("taken_part") & (F.col("size") > 0)).join(gaps, "place").where(F.col("size") <= F.col("gap"))
-    small = small.groupBy("place", "gap", "size", "key", "doc_id").count().where("count = 1")
-    small = small.withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy("key", "doc_id"))).where(F.col("n") <= FILLERS)
-    # FILLERS rows of a source at most come together here.
-    filling = small.groupBy("place").agg(F.max("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("key", "doc_id", "size"))).alias("xs"))
-    nothing = F.expr("array_repeat(named_struct('key', 0L, 'doc_id', 0L, 'size', 0L), 0)")
-    fill = F.aggregate("xs", F.struct(F.col("gap").alias("gap"), nothing.alias("out")), lambda s, x: F.when(x["size"] <= s["gap"], F.struct((s["gap"] - x["size"]).alias("gap"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s), lambda s: s["out"])
-    extra = filling.select("place", F.explode(fill).alias("x")).select("place", "x.key", F.col("x.doc_id").alias("extra_id"), "x.size")
+    extra = _fillers(small.select("place", "block", "gap", F.struct("key", "doc_id", "size", "row").alias("x")))
 
     # Quotas, the tree, and the runs of permuted blocks.
     passes = F.when(F.col("before") <= F.col("part"), F.col("whole") + 1).otherwise(F.col("whole"))
@@ -139,8 +135,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = drawn.withColumn("rank", F.row_number().over(order).cast("long")).join(runs, ["place", "rank"])
     shards = dealt.groupBy("place", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("passes"))
 
-    out = placed.join(shards, ["place", "block"], "left").join(extra.withColumn("is_extra", F.lit(True)), ["place", "key", "size"], "left")
-    extra_row = F.coalesce(F.col("is_extra") & F.col("doc_id").eqNullSafe(F.col("extra_id")), F.lit(False))
+    out = placed.join(shards, ["place", "block"], "left").join(extra.withColumn("is_extra", F.lit(True)), ["place", "row"], "left")
+    extra_row = F.coalesce(F.col("is_extra"), F.lit(False))
     none = F.expr("array_repeat(named_struct('pass', 0L, 'shard', 0L), 0)")
     kept = F.filter(F.coalesce("passes", none), lambda p: (p["pass"] < F.col("whole")) | F.col("taken_part"))
     added = F.when(extra_row, F.array(F.struct(F.col("whole").alias("pass"), F.pmod(F.xxhash64(F.lit(SEED), "key"), F.lit(1 << levels)).alias("shard")))).otherwise(none)
@@ -148,6 +144,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("doc_id", "source", "size", "source_size", "target", places.alias("placements"))
 
 
+def _fillers(left: DataFrame) -> DataFrame:
+    """(place, block, gap, x) documents, each of gap's size at most -> (place, row) of those that fill the gap: in x's order, each that still fits."""
+    taken = []
+    size = F.col("x.size")
+    while True:
+        left = staged(left, "mix-left")
+        most = left.groupBy("place").count().agg(F.max("count")).collect()[0][0] or 0
+        if most <= LAST:
+            break
+        # Whole blocks while they fit, then documents of the next block while they fit.
+        blocks = left.groupBy("place", "block").agg(F.sum(size).alias("words"))
+        order = Window.partitionBy("place").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
+        rows = left.join(blocks, ["place", "block"])
+        fits = F.col("before") + F.col("words") <= F.col("gap")
+        edge = (~fits) & (F.col("before") <= F.col("gap"))
+        inner = Window.partitionBy("place", "block", edge).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        rows = staged(rows.withColumn("taken", fits | (edge & (F.col("before") + F.sum(size).over(inner) <= F.col("gap")))).drop("before", "words"), "mix-round")
+        taken.append(rows.where("taken").select("place", "x.row"))
+        # What is left fits in what is left of the gap and comes after the first that didn't fit.
+        done = rows.groupBy("place").agg(F.sum(F.when(F.col("taken"), size).otherwise(0)).alias("words"), F.min(F.when(~F.col("taken"), F.col("x"))).alias("stop"))
+        rows = rows.where(~F.col("taken")).join(done, "place").withColumn("gap", F.col("gap") - F.col("words"))
+        left = rows.where((F.col("x") > F.col("stop")) & (size <= F.col("gap"))).select("place", "block", "gap", "x")
+    # LAST rows of a source at most come together here.
+    filling = left.groupBy("place").agg(F.max("gap").alias("gap"), F.sort_array(F.collect_list("x")).alias("xs"))
+    nothing = F.expr("array_repeat(0L, 0)")
+    fill = F.aggregate("xs", F.struct(F.col("gap").alias("gap"), nothing.alias("out")), lambda s, x: F.when(x["size"] <= s["gap"], F.struct((s["gap"] - x["size"]).alias("gap"), F.concat(s["out"], F.array(x["row"])).alias("out"))).otherwise(s), lambda s: s["out"])
+    out = filling.select("place", F.explode(fill).alias("row"))
+    for rows in taken:
+        out = out.unionByName(rows)
+    return out
+
+
 def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with their source's columns; null is a source of its own."""
     other = sources.withColumnRenamed("source", "source_")

@@ -159,6 +159,29 @@ def test_mixing(spark, docs, none):
     assert len(per_shard) == 8 and max(per_shard.values()) - min(per_shard.values()) <= 3
 
 
+@pytest.mark.parametrize("last", [1024, 5])
+def test_mixing_fills_the_rest(spark, monkeypatch, last):
+    from palimpsest.llm import mixing
+
+    monkeypatch.setattr(mixing, "LAST", last, raising=False)
+    rng = random.Random(5)
+    rows = [(n, "w " * rng.randint(0, 12), f"s{n % 3}") for n in range(900)] + [(1000 + n, "w " * (900 + 7 * n), f"s{n % 3}") for n in range(30)]
+    rows += [r for r in rows if r[0] % 5 == 0]  # repeated rows
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.doc_id] += r.size * len(r.placements)
+    key = lambda k: int(hashlib.md5(f"{mixing.SEED}:{k}".encode()).hexdigest()[:15], 16)
+    for source in ("s0", "s1", "s2"):
+        own = sorted((key(r[0]), r[0], r[1].count("w")) for r in rows if r[2] == source)
+        total, target = sum(n for _, _, n in own), next(r.target for r in got if r.source == source)
+        whole, rest, due = int(target // total), target % total, Counter()
+        for _, k, n in own:
+            due[k] += n * (whole + (n <= rest))
+            rest -= n if n <= rest else 0
+        assert all(taken[k] == due[k] for k in due), source
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
 def test_ngram_join(docs, none, width, percent):
     from palimpsest.llm.ngram_join import jaccard_classes
