@@ -1,6 +1,6 @@
 """Licence scan by canonical digests of entire texts, in built-in functions.
 
-A text's canonical form is its lower-cased (A-Z) words without copyright lines and punctuation, with equivalent spellings made one; its
+A text's canonical form is its lower-cased (A-Z) words without copyright statements and punctuation, however it is wrapped, with equivalent spellings made one; its
 digest is the SHA-256 of that form. Whole texts are hash-joined to the digests of known licences, a fixed table of a few rows
 (or the caller's own `known` table of (licence, text), joined without a broadcast hint). Null or empty text: the digest of the empty form, no
 licence. Texts of any length are read whole; repeated rows give a row each; two licences with one form count as the first by name.
@@ -18,8 +18,13 @@ SPELLINGS = [
     ("merchantibility", "merchantability"), ("https", "http"), ("per cent", "percent"), ("fulfilment", "fulfillment"),
 ]
 
-#: Copyright lines: from the line's start over anything but letters and digits to one of these words, up to the line's end.
+#: Copyright lines as the SQL deletes them: from the line's start over anything but letters and digits to one of these words, up to the line's end.
 COPYRIGHT_LINE = "(^|\\n)[^a-z0-9\\n©]*(copyright|©|c\\) |all rights reserved)[^\\n]*"
+_NOT_HOLDER = "(?![^a-z0-9\\n]*(notices?|holders?|owners?|laws?|licen[sc]es?|statements?|and|or|in|is|as|to|of|the above|permission|interests?|protection|treaty|treaties|infringement|also|means|shall|may|must|on|for)\\b)"
+#: Copyright statements: lines that begin with copyright and a mark or have a year, with a mark, with (c) and a year, or that only reserve all rights.
+STATEMENT = "(^|\\n)[^a-z0-9\\n©]*(copyright[^a-z0-9\\n]*(c\\)|©)|copyright" + _NOT_HOLDER + "[^\\n]*\\b(19|20)[0-9][0-9]\\b|©|c\\) *(19|20)[0-9][0-9]\\b|all rights reserved(?=[^a-z0-9\\n]*(\\n|$)))[^\\n]*"
+#: Lines of copyright and a holder, at a paragraph's start only: elsewhere a wrapped sentence goes on.
+HOLDERS = "(^|\\n[^a-z0-9\\n]*\\n)([^a-z0-9\\n©\"“']*copyright\\b" + _NOT_HOLDER + "[^\\n]*(\\n|$))+"
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,10 +81,27 @@ KNOWN = [
     ("MIT notice", "Released under the MIT License."), ("Zlib", _ZLIB), ("Zlib", "zlib License\n\n" + _ZLIB),
 ]
 
+# Fixed values: (licence, digest of the canonical form) of whole licence texts, made from the copies in Debian's /usr/share/common-licenses; the SQL has none of them.
+FULL = [
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e"),
+    ("GFDL-1.3", "525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-3.0", "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8"),
+    ("LGPL-2.0", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e"),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
+
 
 def canonical(text: Column) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.regexp_replace(out, STATEMENT, "\n"), HOLDERS, "\n\n")
     out = F.trim(F.regexp_replace(out, NOT_WORD, " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
@@ -94,6 +116,9 @@ def licence_matches(docs: DataFrame, known: DataFrame | None = None, id_col: str
     if fixed:
         known = docs.sparkSession.createDataFrame(KNOWN, "licence string, text string")
     table = known.where("text is not null").select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
+    if fixed:
+        full = docs.sparkSession.createDataFrame(FULL, "licence string, digest string").select("digest", "licence")
+        table = table.unionByName(full).groupBy("digest").agg(F.min("licence").alias("licence"))
     # The built-in table is a constant of this module; another may be of any size.
     return rows.join(F.broadcast(table) if fixed else table, "digest", "left").select("doc_id", "n_words", "digest", "licence")
 

@@ -1,6 +1,7 @@
 """Each operator against a plain definition, on small tables with nulls, empty, long, repeated and clashing rows."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -396,6 +397,33 @@ def test_licences(spark, docs, none):
     assert by_id(licence_matches(docs, own))[3].licence == "house"
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    from palimpsest.llm.licences import KNOWN, licence_matches
+
+    known, rows, due = dict(KNOWN), [], {}
+    head = ["", "Copyright (c) 2020, Some Body\nCopyright Other Inc.\nAll rights reserved.\n\n", "Copyright Some Body\n\n", "(c) 1999-2004 A\n", "Copyright Regents, 1994.\n\n"]
+    for name in ("ISC", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "MIT", "Zlib"):
+        for width in (30, 47, 64, 72, 79):
+            for n, before in enumerate(head):
+                for mark in ("", "# "):
+                    text = before + "\n\n".join(textwrap.fill(x, width) for x in known[name].split("\n\n"))
+                    rows.append((len(rows), "\n".join(mark + x for x in text.split("\n"))))
+                    due[rows[-1][0]] = name
+    isc = "that the above\ncopyright notice and this permission notice appear in all copies."
+    rows.append((len(rows), known["ISC"].replace("that the above copyright notice and this permission notice appear in all copies.", isc)))
+    due[rows[-1][0]] = "ISC"
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        path = pathlib.Path("/usr/share/common-licenses", file)
+        if path.exists():
+            text = path.read_text(encoding="utf-8")
+            rows += [(len(rows), text), (len(rows) + 1, re.sub(r"(?<=[a-z,;]) *\n *(?=[a-z])(?!copyright)", " ", text))]
+            due[rows[-1][0]] = due[rows[-2][0]] = name
+    got = {r.doc_id: r.licence for r in licence_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [rows[k][1] for k in due if got[k] != due[k]] == []
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
