@@ -93,6 +93,21 @@ def test_flac(docs, none):
     assert [b.sample_offset for b in blocks] == [576 * k for k in range(len(blocks))]
 
 
+def test_flac_query_reads_stored_media(spark, sf):
+    from pathlib import Path
+
+    from palimpsest.llm import flac
+    from palimpsest.llm.queries import op2_flac_media
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.glob("media-*"))
+    out = op2_flac_media(spark, sf)
+    (store,) = set(shared.glob("media-*")) - before
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert spark.read.parquet(str(store)).count() == docs.count() > 0 and any(store.name in f for f in out.inputFiles())
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, flac.media_digests(flac.encode_media(docs)).collect()))
+
+
 def test_substring_dedup(docs, none):
     from palimpsest.llm.suffixes import BucketQueue, sort_suffixes, substring_report
 
