@@ -24,20 +24,33 @@ STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share. A temporary one only in a local session that names none; a cluster must name it."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         name = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", name)
     return name.rstrip("/")
 
 
-def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: the lineage ends there, lost executors or not."""
+def staged_at(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it again: the lineage ends there, lost executors or not. Its path comes second."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
+    return staged_at(df, label, **options)[0]
+
+
+def unstage(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that no later step reads."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: Rows of an Arrow batch: with whole texts in them, the session's usual number would hold a worker's memory many times over.
@@ -185,6 +198,12 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     return acc[at], out
 
 
+def runs_of(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and where each one's run begins and ends: work follows the array, never the range of values."""
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[begins], begins, np.append(begins[1:], len(ordered)) if len(ordered) else begins
+
+
 def segment_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=None if values.dtype.kind == "f" else np.int64)])
     return total[offs[1:]] - total[offs[:-1]]
@@ -203,12 +222,24 @@ def key_bits(total: int) -> int:
 
 def packed_keys(key: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
     """Sorted distinct keys of a step as 32-bit rests by bucket; one that the step itself has met twice is written twice."""
-    bucket = (key >> np.uint64(32)).astype(np.int64)
+    bucket, begins, ends = runs_of((key >> np.uint64(32)).astype(np.int64))
     low = key.astype(np.uint32)
-    cuts = np.searchsorted(bucket, np.arange(int(bucket[-1]) + 2))
-    full = np.flatnonzero(np.diff(cuts))
-    rows = [np.concatenate([low[cuts[b] : cuts[b + 1]], low[cuts[b] : cuts[b + 1]][shared[cuts[b] : cuts[b + 1]]]]).tobytes() for b in full]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
+    rows = [np.concatenate([low[a:b], low[a:b][shared[a:b]]]).tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
+
+
+def _rests(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rests of a bucket and how often each was sent."""
+    low = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("packed").combine_chunks()]))
+    values, begins, ends = runs_of(low)
+    return values, ends - begins
+
+
+def _broadcast(packed: DataFrame, part: Callable, buckets: int, width: int):
+    flags = np.zeros(buckets * width, np.uint8)
+    for r in packed.groupBy("bucket").applyInArrow(part, "bucket int, flags binary").collect():
+        flags[r.bucket * width : (r.bucket + 1) * width] = np.frombuffer(r.flags, np.uint8)
+    return packed.sparkSession.sparkContext.broadcast(flags.tobytes())
 
 
 def shared_table(packed: DataFrame, bits: int):
@@ -216,17 +247,12 @@ def shared_table(packed: DataFrame, bits: int):
     kept = TABLE_BITS - (bits - 32)
 
     def part(key: tuple, table: pa.Table) -> pa.Table:
-        low = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("packed").combine_chunks()]))
-        twice = low[1:][low[1:] == low[:-1]]
+        low, count = _rests(table)
         flags = np.zeros(1 << kept, bool)
-        flags[twice >> np.uint32(32 - kept)] = True
+        flags[low[count > 1] >> np.uint32(32 - kept)] = True
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-    width = (1 << kept) // 8
-    flags = np.zeros((1 << (bits - 32)) * width, np.uint8)
-    for r in packed.groupBy("bucket").applyInArrow(part, "bucket int, flags binary").collect():
-        flags[r.bucket * width : (r.bucket + 1) * width] = np.frombuffer(r.flags, np.uint8)
-    return packed.sparkSession.sparkContext.broadcast(flags.tobytes())
+    return _broadcast(packed, part, 1 << (bits - 32), (1 << kept) // 8)
 
 
 def in_table(table, keys: np.ndarray) -> np.ndarray:
@@ -234,3 +260,60 @@ def in_table(table, keys: np.ndarray) -> np.ndarray:
     flags = np.frombuffer(table.value, np.uint8)
     slot = keys >> np.uint64(64 - TABLE_BITS)
     return ((flags[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
+
+
+#: Numbers of sightings from which a key is on level 1, 2 and 3.
+LEVELS = (2, 8, 64)
+
+
+def level_table(packed: DataFrame, bits: int):
+    """A broadcast table of 2-bit levels, as large as a bit table: 0 is a key that was met once at most; a slot has the highest level of its keys."""
+    kept = TABLE_BITS - 1 - (bits - 32)
+
+    def part(key: tuple, table: pa.Table) -> pa.Table:
+        low, count = _rests(table)
+        flags = np.zeros(1 << kept, np.uint8)
+        for level, least in enumerate(LEVELS, 1):
+            flags[low[count >= least] >> np.uint32(32 - kept)] = level
+        four = flags.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([four.sum(1, dtype=np.uint8).tobytes()], pa.binary())})
+
+    return _broadcast(packed, part, 1 << (bits - 32), (1 << kept) // 4)
+
+
+def levels_of(table, keys: np.ndarray) -> np.ndarray:
+    flags = np.frombuffer(table.value, np.uint8)
+    slot = keys >> np.uint64(65 - TABLE_BITS)
+    return (flags[slot >> np.uint64(2)] >> ((slot & np.uint64(3)).astype(np.uint8) * np.uint8(2))) & np.uint8(3)
+
+
+def _row_hash(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        out = mix(out + column.astype(np.int64).view(np.uint64), 5)
+    return out
+
+
+def value_table(values: DataFrame):
+    """A broadcast bit table of a frame's rows of longs (null: 0), to leave out rows early: `in_values` is true for each of its rows and for a few others."""
+    rest = TABLE_BITS - 20
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _row_hash([c.fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            if len(x):
+                slot = np.unique(x >> np.uint64(64 - TABLE_BITS))
+                bucket, begins, ends = runs_of((slot >> np.uint64(20)).astype(np.int64))
+                low = (slot & np.uint64((1 << 20) - 1)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())], ["bucket", "packed"])
+
+    def part(key: tuple, table: pa.Table) -> pa.Table:
+        flags = np.zeros(1 << 20, bool)
+        flags[_rests(table)[0]] = True
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    return _broadcast(values.mapInArrow(send, "bucket int, packed binary"), part, 1 << rest, (1 << 20) // 8)
+
+
+def in_values(table, *columns: np.ndarray) -> np.ndarray:
+    return in_table(table, _row_hash(list(columns)))

@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged_at, unstage
+
+#: Parts that the links of one node are dealt to when they meet its smallest neighbour, so that a star's centre isn't one task's.
+SALTS = 16
+
+
+def _with_least(links: DataFrame, other: str, least: DataFrame) -> DataFrame:
+    """links (u, other) with m of `least` (u, m)."""
+    salt: Column = F.pmod(F.xxhash64(other), F.lit(SALTS))
+    copies = least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return links.withColumn("salt", salt).join(copies, ["u", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) long edges -> (node, component): every node of an edge, and the smallest node that it reaches.
 
     A round points each node's larger neighbours, then its smaller ones, at its smallest neighbour; all tables stay linear in the edges, and a node of
-    any degree is summed up by partial aggregation and met by an equi join that can be split. Self-loops and repeated edges are allowed, nulls are not.
+    any degree is summed up by partial aggregation and met in SALTS parts. A round's table goes when the next is written. Self-loops and repeated edges
+    are allowed, nulls are not.
     """
-    links = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    spark = edges.sparkSession
+    links, path = staged_at(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     last = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: neighbours above u go to u's smallest.
-        large = links.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.unionByName(links.join(low, "u").select("u", F.col("m").alias("v")).where("u <> v")).distinct()
+        above = links.select(F.col("v").alias("u"), F.col("u").alias("w")).unionByName(links.select("u", F.col("u").alias("w")))
+        large = _with_least(above, "w", low).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its neighbours below go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        links = staged(small, "links")
+        small = _with_least(large, "v", least).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        done = path
+        links, path = staged_at(small, "links")
+        unstage(spark, done)
         row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).collect()[0]
         if tuple(row) == last:
             break

@@ -1,15 +1,16 @@
 """Exact Jaccard join of word n-gram sets with a token-group matrix.
 
 1. Every text becomes the set of its distinct shingles; equal sets are one node (a 64-bit hash of the set).
-2. Nodes that could link are brought together. For sizes up to M two linked sets differ in D shingles at most, so when a hash deals
-   the shingles to P > D parts, one part at least is the same in both. A node sends a hash of each part; nodes that share one are
-   neighbours. P leaves room for empty parts, and a node with more empty parts than that sends those too, so no link is missed.
-   Common passages don't matter: a part is spread over the whole text. A first pass sets the bits of part hashes that are met
-   twice in a table of fixed size, a second sends only those, as packed arrays by bucket, after copies of a node in a task's step have become one.
-3. Clusters of neighbours (connected components) are cut into tiles of bounded size; every two tiles of a cluster meet in one task. There, nodes are
-   put into groups of similar ones. A token-group matrix holds the union of each group's shingles; a node's
-   overlap with the union bounds its overlap with every member, and only groups whose bound reaches the needed overlap are opened. In an opened group, members that
-   the node isn't connected with already are compared exactly.
+2. A first pass counts shingles into a broadcast table of fixed size: not met twice, or met often to one of three degrees. All sets are ordered alike, rare
+   shingles first (degree, then hash). Two sets of similarity PERCENT share PERCENT of the larger one's shingles or more, so each has one of the shared ones among
+   its first n - ceil(n * PERCENT / 100) + 1, whatever else is in them. Those of a set that may stand in another one are sent; a text that has enough words
+   of its own sends nothing. Nodes that share a sent shingle with a shingle's smallest node are neighbours: linked nodes always end up in one cluster.
+   A task's step joins its own nodes first, so a shingle is sent once a step, however many copies there are.
+3. Clusters of neighbours (connected components) are cut into tiles of bounded size. Every tile meets itself and the cluster's first tile. Where a cluster has more
+   than two tiles, the nodes that these meetings have not joined to its heaviest group meet all other tiles; nodes of one group need no further meeting,
+   so a cluster of near copies costs its size and not its square. In a meeting, nodes are put into groups of similar ones. A token-group matrix holds the
+   union of each group's shingles; a node's overlap with the union bounds its overlap with every member, and only groups whose bound reaches the needed
+   overlap are opened. In an opened group, members that the node isn't connected with already are compared exactly.
 4. Components of the verified links give each row its class.
 
 Words: `[^\\x20\\x09-\\x0D]+` of the text with A-Z lowered. Fewer words than a shingle has: the whole sequence is the one shingle. No words, null or
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, documents, in_table, key_bits, lean, mix, packed_keys, shared_table, shingles, staged, steps, text_bytes
+from .common import Words, documents, in_values, key_bits, lean, level_table, levels_of, mix, packed_keys, runs_of, shingles, staged, staged_at, steps, text_bytes, unstage, value_table
 from .graph import components
 
-#: Growth of the size classes; bytes of part hashes in a bucket; shingles in a tile; groups in a tile's matrix; text bytes of a step.
-LADDER, BUCKET_BYTES, TILE_TOKENS, GROUPS, STEP = 2.0, 8 << 20, 1 << 19, 64, 2 << 20
+#: Shingles in a tile; groups in a tile's matrix; text bytes of a step.
+TILE_TOKENS, GROUPS, STEP = 1 << 19, 64, 2 << 20
 
 
 def shingle_sets(array: pa.Array, width: int) -> list[np.ndarray]:
@@ -55,48 +56,6 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens, 11).sum(dtype=np.uint64)]) + np.uint64(len(tokens)), 12).view(np.int64)[0])
 
 
-class Parts:
-    """The part hashes that bring every two linked sets together."""
-
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
-        self.bounds = [1]
-        while self.bounds[-1] < 1 << 40:
-            self.bounds.append(max(self.bounds[-1] + 1, int(np.ceil(self.bounds[-1] * LADDER))))
-        self.known: dict[int, tuple[int, int, int]] = {}
-
-    def shape(self, k: int) -> tuple[int, int, int]:
-        """(most differing shingles, parts, empty parts allowed) of class k, where the larger set has bounds[k] to bounds[k + 1] - 1 shingles."""
-        if k not in self.known:
-            most = self.bounds[k + 1] - 1
-            differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-            least = max(1, self.bounds[k] * self.percent // 100)
-            spare, parts = 1, differ + 2
-            for _ in range(20):
-                empty = parts * np.exp(-least / parts)
-                spare = int(np.ceil(empty + 4 * np.sqrt(empty))) + 1
-                parts = differ + 1 + spare
-            self.known[k] = differ, parts, spare
-        return self.known[k]
-
-    def of(self, tokens: np.ndarray) -> list[np.ndarray]:
-        n = len(tokens)
-        k = int(np.searchsorted(self.bounds, n, "right")) - 1
-        deal, weigh = mix(tokens, 21), mix(tokens, 22)
-        out = []
-        while self.bounds[k] <= n * 100 // self.percent:
-            differ, parts, spare = self.shape(k)
-            if differ:
-                part = (deal % np.uint64(parts)).astype(np.int64)
-                sums = np.zeros(parts, np.uint64)
-                np.add.at(sums, part, weigh)
-                full = np.bincount(part, minlength=parts) > 0
-                hashes = mix(sums + mix(np.arange(parts, dtype=np.uint64), 23) * np.uint64(2 * k + 1), 24)
-                out.append(hashes if parts - full.sum() > spare else hashes[full])
-            k += 1
-        return out
-
-
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, most=STEP):
@@ -106,59 +65,75 @@ def _members(width: int):
     return run
 
 
-def _hashes(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(part hashes, their nodes) of each step; copies of a node in a step are one."""
-    parts = Parts(percent)
+def _nodes(batches: Iterator[pa.RecordBatch], width: int, first) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, their sizes, all their shingles) of each step, from the rows that stand for their nodes; copies of a node in a step are one."""
     for batch in steps(batches, most=STEP):
-        nodes = {node_of(s): s for s in shingle_sets(batch.column("text"), width) if len(s)}
-        rows = [(h, node) for node, tokens in nodes.items() for h in parts.of(tokens)]
-        if rows:
-            yield np.concatenate([h for h, _ in rows]), np.repeat(np.array([node for _, node in rows], np.int64), [len(h) for h, _ in rows])
+        sets = shingle_sets(batch.column("text"), width)
+        nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
+        stands = in_values(first, nodes, batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
+        held = {int(nodes[k]): sets[k] for k in np.flatnonzero(stands).tolist() if len(sets[k])}
+        if held:
+            yield np.array(list(held), np.int64), np.array([len(s) for s in held.values()], np.int64), np.concatenate(list(held.values()))
 
 
-def _sharers(width: int, percent: int, bits: int):
-    """First pass: which part hashes are there at all."""
+def _counted(width: int, bits: int, first):
+    """First pass: each step's shingles by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, _ in _hashes(batches, width, percent):
-            key, count = np.unique(h >> np.uint64(64 - bits), return_counts=True)
+        for _, _, tokens in _nodes(batches, width, first):
+            key, count = np.unique(tokens >> np.uint64(64 - bits), return_counts=True)
             yield packed_keys(key, count > 1)
 
     return run
 
 
-def _sender(width: int, percent: int, buckets: int, table):
-    """Second pass: the part hashes that two nodes may share, by bucket."""
+def prefixes(sizes: np.ndarray, tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """Places in `tokens` of the shingles by which sets of these sizes can meet a linked one: the rarest ones of each, without those that no other set has."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((tokens, levels, owner))
+    rank = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    most = sizes - (sizes * percent + 99) // 100 + 1
+    first = order[rank < most[owner]]
+    return first[levels[first] > 0]
+
+
+SENT = "is_edge boolean, token long, node long, lead long"
+
+
+def _sender(width: int, percent: int, table, first):
+    """Second pass: each step's rare shingles with their smallest node of the step, and the edges from the other nodes to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, o in _hashes(batches, width, percent):
-            hit = in_table(table, h)
-            h, o = h[hit], o[hit]
-            if len(h) == 0:
+        for nodes, sizes, tokens in _nodes(batches, width, first):
+            at = prefixes(sizes, tokens, levels_of(table, tokens), percent)
+            if len(at) == 0:
                 continue
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            h, o = h[order], o[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            rows = [h[cuts[b] : cuts[b + 1]].tobytes() + o[cuts[b] : cuts[b + 1]].tobytes() for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"])
+            owner = nodes[np.repeat(np.arange(len(nodes)), sizes)[at]]
+            order = np.lexsort((owner, tokens[at]))
+            token, begins, ends = runs_of(tokens[at][order])
+            owner = owner[order]
+            lead = np.repeat(owner[begins], ends - begins)
+            pairs = np.unique(np.stack([owner, lead], 1)[owner != lead], axis=0)
+            n, m = len(token), len(pairs)
+            none = np.zeros(m, np.int64)
+            columns = [pa.array(np.repeat([False, True], [n, m])), pa.array(np.concatenate([token.view(np.int64), none])), pa.array(np.concatenate([owner[begins], pairs[:, 0]])), pa.array(np.concatenate([owner[begins], pairs[:, 1]]))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in SENT.split(", ")])
 
     return run
 
 
-def _neighbours(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs (a node, the smallest node that shares a part with it) of one bucket, whose size is bounded by BUCKET_BYTES on average."""
-    halves = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("packed").combine_chunks()]
-    h = np.concatenate([x[: len(x) // 2] for x in halves])
-    o = np.concatenate([x[len(x) // 2 :] for x in halves]).view(np.int64)
-    order = np.lexsort((o, h))
-    h, o = h[order], o[order]
-    head = np.ones(len(h), bool)
-    head[1:] = h[1:] != h[:-1]
-    lead = o[np.flatnonzero(head)][np.cumsum(head) - 1]
-    pairs = np.unique(np.stack([o, lead], 1)[o != lead], axis=0) if (o != lead).any() else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+def _texts(width: int, wanted):
+    """A text of each wanted node of a step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, most=STEP):
+            held = {node_of(s): k for k, s in enumerate(shingle_sets(batch.column("text"), width)) if len(s)}
+            nodes, rows = np.array(list(held), np.int64), np.array(list(held.values()), np.int64)
+            hit = in_values(wanted, nodes)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), batch.column("text").take(pa.array(rows[hit]))], ["node", "text"])
+
+    return run
 
 
 def link_tile(sets: list[np.ndarray], side: np.ndarray, percent: int, groups: int = GROUPS) -> list[tuple[int, int]]:
@@ -217,44 +192,72 @@ def link_tile(sets: list[np.ndarray], side: np.ndarray, percent: int, groups: in
 
 
 def _verify(width: int, percent: int):
+    """The links of a meeting; rows have a side, see link_tile."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        found = {}
-        for batch in steps(iter(table.select(["node", "tile", "text"]).to_batches()), most=STEP):
-            for node, tile, tokens in zip(batch.column("node").to_pylist(), batch.column("tile").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
-                if node_of(tokens) == node:  # another row of the same doc_id has another text
-                    found[node] = (tokens, tile)
-        nodes = list(found)
-        same = key[1].as_py() == key[2].as_py()
-        side = np.array([2 if same else int(found[k][1] == key[2].as_py()) for k in nodes])
-        links = link_tile([found[k][0] for k in nodes], side, percent) if len(nodes) > 1 else []
+        nodes, sides, sets = [], [], []
+        for batch in steps(iter(table.select(["node", "side", "text"]).to_batches()), most=STEP):
+            nodes += batch.column("node").to_pylist()
+            sides += batch.column("side").to_pylist()
+            sets += shingle_sets(batch.column("text"), width)
+        links = link_tile(sets, np.array(sides), percent) if len(nodes) > 1 else []
         return pa.table({"a": pa.array([nodes[i] for i, _ in links], pa.int64()), "b": pa.array([nodes[j] for _, j in links], pa.int64())})
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) for each row: component_id is the smallest doc_id that links reach, node the row's shingle set."""
+def candidate_clusters(docs: DataFrame, names: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component): nodes that could be linked with another one, and their cluster."""
+    bits = key_bits(names.agg(F.sum("n")).collect()[0][0] or 0)
+    # The row with the smallest doc_id stands for its node: copies neither count as sightings nor send anything. A false hit only adds a row.
+    first = value_table(names.select("node", "name"))
+    table = level_table(docs.mapInArrow(lean(_counted(width, bits, first)), "bucket int, packed binary"), bits)
+    sent = staged(docs.mapInArrow(lean(_sender(width, percent, table, first)), SENT), "ngram-sent")
+    tokens = sent.where("not is_edge").select("token", "node")
+    # A shingle comes once a step at most, so its rows stay few even where a third of all texts share it.
+    lead = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("token", "lead")
+    met = tokens.join(lead, "token").select("node", "lead")
+    return components(met.unionByName(sent.where("is_edge").select("node", "lead")).select(F.col("node").alias("a"), F.col("lead").alias("b")))
+
+
+def _links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of each row, (node, name, n) of each node, and (node, component) of the nodes that have a link."""
     docs = documents(docs)
     members = staged(docs.mapInArrow(lean(_members(width)), "doc_id long, n_shingles long, node long"), "ngram-members")
-    total = members.agg(F.sum("n_shingles")).collect()[0][0] or 0
-    buckets = int(max(16, total * 16 * 3 * (100 - percent) / 100 // BUCKET_BYTES))
-    bits = key_bits(total)
-    table = shared_table(docs.mapInArrow(lean(_sharers(width, percent, bits)), "bucket int, packed binary"), bits)
-    packed = docs.mapInArrow(lean(_sender(width, percent, buckets, table)), "bucket int, packed binary")
-    near = staged(packed.groupBy("bucket").applyInArrow(_neighbours, "a long, b long").distinct(), "ngram-near")
-    clusters = components(near)
     names = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("name"), F.max("n_shingles").alias("n"))
-    placed = staged(clusters.join(names, "node"), "ngram-clusters")
+    placed = staged(candidate_clusters(docs, names, width, percent).join(names, "node"), "ngram-clusters")
     weight = placed.groupBy("component").agg(F.sum("n").alias("tokens"))
-    placed = placed.join(weight, "component").withColumn("tiles", F.ceil(F.col("tokens") / TILE_TOKENS).cast("int"))
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    placed = placed.hint("merge").join(weight, "component").withColumn("tiles", F.ceil(F.col("tokens") / TILE_TOKENS).cast("int"))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("component", "node", "n", "tile", "tiles")
+    texts = docs.mapInArrow(lean(_texts(width, value_table(placed.select("node")))), "node long, text string").dropDuplicates(["node"])
     # A merge join at every size: the clusters grow with the input, so they are never broadcast.
-    texts = placed.hint("merge").join(docs, F.col("name").eqNullSafe(F.col("doc_id"))).select("component", "node", "tile", "tiles", "text")
-    # Every two tiles of a cluster meet once; a cluster of one tile, the usual case, is sent once.
-    met = texts.select("component", "node", "tile", "text", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    met = met.select("component", "node", "tile", "text", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"))
-    links = met.groupBy("component", "tile_a", "tile_b").applyInArrow(_verify(width, percent), "a long, b long")
+    held, held_path = staged_at(placed.hint("merge").join(texts, "node"), "ngram-texts")
+    # A tile meets itself and the first one, which meets all.
+    t, first = F.col("tile"), F.lit(0)
+    itself = F.struct(t.alias("i"), t.alias("j"), F.lit(2).alias("side"))
+    others = F.when(t > 0, F.array(F.struct(first.alias("i"), t.alias("j"), F.lit(1).alias("side")))).when(F.col("tiles") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("tiles") - 1, F.lit(1))), lambda j: F.struct(first.alias("i"), j.alias("j"), F.lit(0).alias("side"))))
+    none = F.expr("array_repeat(named_struct('i', 0, 'j', 0, 'side', 0), 0)")
+    met = held.select("component", "node", "text", F.explode(F.concat(F.array(itself), F.coalesce(others, none))).alias("m")).select("component", "node", "text", "m.i", "m.j", "m.side")
+    links = staged(met.groupBy("component", "i", "j").applyInArrow(_verify(width, percent), "a long, b long"), "ngram-links")
     linked = components(links)
+    if held.where("tiles > 2").limit(1).count():
+        large = held.where("tiles > 2").drop("text").join(linked.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        heavy = large.groupBy("component", "label").agg(F.sum("n").alias("weight")).groupBy("component").agg(F.max_by("label", F.struct("weight", "label")).alias("heavy"))
+        apart = large.join(heavy, "component").where("label <> heavy and tile > 0").select("component", "node", "tile", "tiles")
+        apart = staged(apart, "ngram-apart")
+        # What is apart meets all tiles but the first and its own.
+        wide = apart.join(held.select("node", "text"), "node").select("component", "node", "text", F.col("tile").alias("i"), F.explode(F.sequence(F.lit(1), F.col("tiles") - 1)).alias("j"), F.lit(1).alias("side")).where("i <> j")
+        tiles = apart.select("component", F.col("tile").alias("i")).distinct()
+        against = held.where("tiles > 2 and tile > 0").select("component", "node", "text", F.col("tile").alias("j")).join(tiles.hint("merge"), "component").where("i <> j").select("component", "node", "text", "i", "j", F.lit(0).alias("side"))
+        more = wide.unionByName(against).groupBy("component", "i", "j").applyInArrow(_verify(width, percent), "a long, b long")
+        linked = components(links.unionByName(more))
+    unstage(docs.sparkSession, held_path)
+    return members, names, linked
+
+
+def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node) for each row: component_id is the smallest doc_id that links reach, node the row's shingle set."""
+    members, names, linked = _links(docs, width, percent)
     named = names.join(linked, "node", "left").select("node", "name", F.coalesce("component", "node").alias("component"))
     best = named.groupBy("component").agg(F.min("name").alias("component_id"))
     of_node = named.join(best, "component").select("node", "component_id")
@@ -263,7 +266,25 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: the one that gives the group its name. Rows with equal doc_id and text are one document."""
-    classes = jaccard_classes(docs, width, percent)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """docs with one row of each group, all its columns as they are.
+
+    The row with the smallest doc_id stays (null last, then by a hash of text and of the row). A row without words is a group of its own; only equal
+    doc_ids and texts among those become one.
+    """
+    _, names, linked = _links(docs, width, percent)
+    joined = linked.join(names, "node")
+    chosen = joined.groupBy("component").agg(F.min(F.struct(F.col("name").isNull().alias("nameless"), "name", "node"))["node"].alias("chosen"))
+    losers = joined.join(chosen, "component").where("node <> chosen").select(F.col("node").alias("loser"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, most=STEP):
+            nodes = [node_of(s) if len(s) else None for s in shingle_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("doc_id"), batch.column("text"), batch.column("whole")], ["node", "doc_id", "text", "whole"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    documents(docs)  # small Arrow batches
+    rows = plain.mapInArrow(lean(keyed), f"node long, doc_id long, text string, whole {plain.schema['whole'].dataType.simpleString()}")
+    rows = rows.select(F.coalesce("node", F.xxhash64("doc_id", "text")).alias("key"), F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64("text").alias("t"), F.xxhash64("whole").alias("w")).alias("order"), "whole")
+    # Copies become one before the shuffle; the losers go by the same key after it.
+    one = rows.groupBy("key").agg(F.min_by("whole", "order").alias("whole"))
+    return one.join(losers.hint("merge"), F.col("key") == F.col("loser"), "left_anti").select("whole.*")

@@ -221,6 +221,63 @@ def test_ngram_join(docs, none, width, percent):
     assert jaccard_classes(none, width, percent).count() == 0
 
 
+def _linked_sets(texts, width, percent):
+    """Group of each text by brute force: linked sets, joined."""
+    sets = []
+    for t in texts:
+        w = re.findall(WORD, (t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    group = list(range(len(sets)))
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                group[root(a)] = root(b)
+    return sets, [root(k) for k in range(len(sets))]
+
+
+def test_ngram_join_of_a_cluster_over_many_tiles(spark, monkeypatch):
+    """Near copies in a chain, strangers that share a frequent passage, and texts of frequent words alone."""
+    from palimpsest.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "TILE_TOKENS", 400)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(40)]
+    passage = rng.choices(words, k=30)
+    chain, texts = rng.choices(words, k=60), []
+    for k in range(40):
+        chain = chain.copy()
+        chain[rng.randrange(60)] = f"new{k}"
+        texts.append(" ".join(chain))
+    texts += [" ".join([*rng.choices(words, k=rng.randint(3, 9)), *passage, *rng.choices(words, k=rng.randint(3, 9))]) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    _, group = _linked_sets(texts, 5, 80)
+    got = by_id(ngram_join.jaccard_classes(frame, 5, 80))
+    first = {}
+    for k, g in enumerate(group):
+        first.setdefault(g, k)
+    assert {k: got[k].component_id for k in got} == {k: first[g] for k, g in enumerate(group)}
+
+
+def test_one_of_each(spark, none):
+    from palimpsest.llm.ngram_join import one_of_each
+
+    a, b = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3, "one two three four five six seven eight nine ten eleven"
+    rows = [(2, a), (5, b), (5, a), (None, a), (None, "only here is this text found among the rows"), (7, b.upper()), (8, ""), (8, ""), (9, None), (None, ""), (2, a), (1, "x")]
+    frame = spark.createDataFrame([(*r, "s", k) for k, r in enumerate(rows)], "doc_id long, text string, kept_ string, node int").repartition(3)
+    out = one_of_each(frame)
+    assert out.columns == frame.columns
+    got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str)
+    assert got == sorted([(2, a), (5, b), (None, rows[4][1]), (8, ""), (9, ""), (None, ""), (1, "x")], key=str)
+    assert one_of_each(none).count() == 0
+
+
 def test_tile_links_are_complete():
     from palimpsest.llm.ngram_join import link_tile
 
