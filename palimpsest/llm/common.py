@@ -211,10 +211,19 @@ def segment_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 # -- Keys that are met twice -----------------------------------------------------------------------------
 
-#: Bits of a table of shared keys, whatever the input: 32 MB.
+#: Most bits of a broadcast table, whatever the input, as a power of two: 32 MB. Smaller inputs have smaller tables.
 TABLE_BITS = 28
 
 
+def table_bits(total: int) -> int:
+    """The size of a table for `total` keys: four bits each, as a power of two."""
+    return min(TABLE_BITS, max(16, int(total).bit_length() + 2))
+
+
+def _size_of(table) -> int:
+    return (len(table.value) * 8).bit_length() - 1
+
+
 def key_bits(total: int) -> int:
     """Leading bits of a 64-bit key that tell about `total` keys apart."""
     return min(32 + TABLE_BITS - 3, max(40, int(total).bit_length() + 8))
@@ -236,15 +245,16 @@ def _rests(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _broadcast(packed: DataFrame, part: Callable, buckets: int, width: int):
+    """The parts of a table side by side; its caller destroys it when the last job that reads it is done."""
     flags = np.zeros(buckets * width, np.uint8)
     for r in packed.groupBy("bucket").applyInArrow(part, "bucket int, flags binary").collect():
         flags[r.bucket * width : (r.bucket + 1) * width] = np.frombuffer(r.flags, np.uint8)
     return packed.sparkSession.sparkContext.broadcast(flags.tobytes())
 
 
-def shared_table(packed: DataFrame, bits: int):
+def shared_table(packed: DataFrame, bits: int, size: int = TABLE_BITS):
     """A broadcast bit table in which each key that was met twice has its bit set. Other keys may hit a set bit, so a hit is a candidate and nothing more."""
-    kept = TABLE_BITS - (bits - 32)
+    kept = size - (bits - 32)
 
     def part(key: tuple, table: pa.Table) -> pa.Table:
         low, count = _rests(table)
@@ -258,7 +268,7 @@ def shared_table(packed: DataFrame, bits: int):
 def in_table(table, keys: np.ndarray) -> np.ndarray:
     """Which 64-bit keys have their bit set."""
     flags = np.frombuffer(table.value, np.uint8)
-    slot = keys >> np.uint64(64 - TABLE_BITS)
+    slot = keys >> np.uint64(64 - _size_of(table))
     return ((flags[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
 
 
@@ -266,9 +276,9 @@ def in_table(table, keys: np.ndarray) -> np.ndarray:
 LEVELS = (2, 8, 64)
 
 
-def level_table(packed: DataFrame, bits: int):
+def level_table(packed: DataFrame, bits: int, size: int = TABLE_BITS):
     """A broadcast table of 2-bit levels, as large as a bit table: 0 is a key that was met once at most; a slot has the highest level of its keys."""
-    kept = TABLE_BITS - 1 - (bits - 32)
+    kept = size - 1 - (bits - 32)
 
     def part(key: tuple, table: pa.Table) -> pa.Table:
         low, count = _rests(table)
@@ -283,7 +293,7 @@ def level_table(packed: DataFrame, bits: int):
 
 def levels_of(table, keys: np.ndarray) -> np.ndarray:
     flags = np.frombuffer(table.value, np.uint8)
-    slot = keys >> np.uint64(65 - TABLE_BITS)
+    slot = keys >> np.uint64(65 - _size_of(table))
     return (flags[slot >> np.uint64(2)] >> ((slot & np.uint64(3)).astype(np.uint8) * np.uint8(2))) & np.uint8(3)
 
 
@@ -294,25 +304,29 @@ def _row_hash(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def value_table(values: DataFrame):
-    """A broadcast bit table of a frame's rows of longs (null: 0), to leave out rows early: `in_values` is true for each of its rows and for a few others."""
-    rest = TABLE_BITS - 20
+def value_table(values: DataFrame, most: int):
+    """A broadcast bit table of a frame's rows of longs (null: 0), to leave out rows early: `in_values` is true for each of its rows and for a few others.
+
+    most: a bound of its number of rows, for the table's size.
+    """
+    size = table_bits(most * 4)
+    inner = min(size, 20)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _row_hash([c.fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns])
             if len(x):
-                slot = np.unique(x >> np.uint64(64 - TABLE_BITS))
-                bucket, begins, ends = runs_of((slot >> np.uint64(20)).astype(np.int64))
-                low = (slot & np.uint64((1 << 20) - 1)).astype(np.uint32)
+                slot = np.unique(x >> np.uint64(64 - size))
+                bucket, begins, ends = runs_of((slot >> np.uint64(inner)).astype(np.int64))
+                low = (slot & np.uint64((1 << inner) - 1)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())], ["bucket", "packed"])
 
     def part(key: tuple, table: pa.Table) -> pa.Table:
-        flags = np.zeros(1 << 20, bool)
+        flags = np.zeros(1 << inner, bool)
         flags[_rests(table)[0]] = True
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-    return _broadcast(values.mapInArrow(send, "bucket int, packed binary"), part, 1 << rest, (1 << 20) // 8)
+    return _broadcast(values.mapInArrow(send, "bucket int, packed binary"), part, 1 << (size - inner), (1 << inner) // 8)
 
 
 def in_values(table, *columns: np.ndarray) -> np.ndarray:

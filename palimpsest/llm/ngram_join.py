@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, documents, in_values, key_bits, lean, level_table, levels_of, mix, packed_keys, runs_of, shingles, staged, staged_at, steps, text_bytes, unstage, value_table
+from .common import Words, documents, in_values, key_bits, lean, level_table, levels_of, mix, packed_keys, runs_of, shingles, staged, staged_at, steps, table_bits, text_bytes, unstage, value_table
 from .graph import components
 
 #: Shingles in a tile; groups in a tile's matrix; text bytes of a step.
@@ -208,11 +208,14 @@ def _verify(width: int, percent: int):
 
 def candidate_clusters(docs: DataFrame, names: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component): nodes that could be linked with another one, and their cluster."""
-    bits = key_bits(names.agg(F.sum("n")).collect()[0][0] or 0)
+    total, count = names.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).collect()[0]
+    bits = key_bits(total)
     # The row with the smallest doc_id stands for its node: copies neither count as sightings nor send anything. A false hit only adds a row.
-    first = value_table(names.select("node", "name"))
-    table = level_table(docs.mapInArrow(lean(_counted(width, bits, first)), "bucket int, packed binary"), bits)
+    first = value_table(names.select("node", "name"), count)
+    table = level_table(docs.mapInArrow(lean(_counted(width, bits, first)), "bucket int, packed binary"), bits, table_bits(total))
     sent = staged(docs.mapInArrow(lean(_sender(width, percent, table, first)), SENT), "ngram-sent")
+    first.destroy()
+    table.destroy()
     tokens = sent.where("not is_edge").select("token", "node")
     # A shingle comes once a step at most, so its rows stay few even where a third of all texts share it.
     lead = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("token", "lead")
@@ -226,12 +229,15 @@ def _links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     members = staged(docs.mapInArrow(lean(_members(width)), "doc_id long, n_shingles long, node long"), "ngram-members")
     names = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("name"), F.max("n_shingles").alias("n"))
     placed = staged(candidate_clusters(docs, names, width, percent).join(names, "node"), "ngram-clusters")
+    count = placed.count()
     weight = placed.groupBy("component").agg(F.sum("n").alias("tokens"))
     placed = placed.hint("merge").join(weight, "component").withColumn("tiles", F.ceil(F.col("tokens") / TILE_TOKENS).cast("int"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("component", "node", "n", "tile", "tiles")
-    texts = docs.mapInArrow(lean(_texts(width, value_table(placed.select("node")))), "node long, text string").dropDuplicates(["node"])
+    wanted = value_table(placed.select("node"), count)
+    texts = docs.mapInArrow(lean(_texts(width, wanted)), "node long, text string").dropDuplicates(["node"])
     # A merge join at every size: the clusters grow with the input, so they are never broadcast.
     held, held_path = staged_at(placed.hint("merge").join(texts, "node"), "ngram-texts")
+    wanted.destroy()
     # A tile meets itself and the first one, which meets all.
     t, first = F.col("tile"), F.lit(0)
     itself = F.struct(t.alias("i"), t.alias("j"), F.lit(2).alias("side"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, in_table, key_bits, lean, mix, packed_keys, prefix_hash, shared_table, span_hash, steps, text_bytes
+from .common import documents, in_table, key_bits, lean, mix, packed_keys, prefix_hash, runs_of, shared_table, span_hash, steps, table_bits, text_bytes
 
 #: Bytes of a repeated string; bytes of a gram; text bytes of a shard, of a step and of a segment of a long text;
 #: suffixes that a queue keeps in memory.
@@ -296,12 +296,11 @@ def _sender(bits: int, shards: int, table):
             shard = (mix(key, 93) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             text, at, windows, late, shard, content = (x[order] for x in (text, at, windows, late, shard, content))
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            full = np.flatnonzero(np.diff(cuts))
+            full, begins, ends = runs_of(shard)
             blobs = []
-            for b in full:
-                pick = slice(cuts[b], cuts[b + 1])
-                piece = np.zeros(cuts[b + 1] - cuts[b], _PIECE)
+            for first, last in zip(begins.tolist(), ends.tolist(), strict=True):
+                pick = slice(first, last)
+                piece = np.zeros(last - first, _PIECE)
                 t, begin, w = text[pick], at[pick], windows[pick]
                 piece["content"], piece["doc"], piece["row"], piece["at"] = content[pick], doc[t], row[t], begin - offs[t] + base[t]
                 piece["windows"] = np.where(late[pick], -w, w)
@@ -405,7 +404,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = documents(docs).withColumn("row", F.xxhash64("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     bits = key_bits(total)
-    table = shared_table(docs.mapInArrow(lean(_sharers(bits)), "bucket int, packed binary"), bits)
+    table = shared_table(docs.mapInArrow(lean(_sharers(bits)), "bucket int, packed binary"), bits, table_bits(total // 8))
     shards = int(max(16, total // SHARD_BYTES))
     pieces = docs.mapInArrow(lean(_sender(bits, shards, table)), "shard int, packed binary")
     return pieces.groupBy("shard").applyInArrow(_sort_shard, "doc long, row long, spans binary")
