@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as X
-from .chunking import chunk
+from .chunking import Vectorizer, chunk
 
 def two_places(x: Column) -> Column:
     """Rounded to two places in binary arithmetic, the same in every engine."""
@@ -36,8 +36,8 @@ def build_nodes(chunks: DataFrame, config: Config) -> DataFrame:
     return out.select(key.alias("node_id"), "conv_id", "chunk_ord", "topic", "meso", micros.alias("micros"), "turn_start", "turn_end", "tok", "vec")
 
 
-def compress(turns: DataFrame, config: Config, single: bool = False) -> DataFrame:
-    return build_nodes(chunk(turns, config, single), config)
+def compress(turns: DataFrame, config: Config, single: bool = False, vectorizer: Vectorizer | None = None) -> DataFrame:
+    return build_nodes(chunk(turns, config, single, vectorizer), config)
 
 
 def macro(nodes: DataFrame, config: Config) -> DataFrame:

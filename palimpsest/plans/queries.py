@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from ..config import Config
 from ..functions import text as X
 from ..operators import chunking, context, memory, retrieval
 from ..sources import messages as src
+from ..sources.store import KEYS, Store
 
 C = Config.small()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,12 +295,24 @@ def warm_by_session(spark, d):
     return nodes(spark, d).where("conv_id = 7").select(*_RANGE).orderBy("turn_start")
 
 
+def _store(spark) -> Store:
+    """A store of its own in the folder that all executors share; a local session may name none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="palimpsest-")
+    return Store(spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
 @query
 def warm_point_lookup(spark, d):
-    # The key names one node; its session, known to whoever holds the key, prunes the scan.
-    rows = nodes(spark, d)
-    key = rows.where("conv_id = 7 and chunk_ord = 0").select(F.col("node_id").alias("key"))
-    return rows.where("conv_id = 7").join(key, F.col("node_id") == F.col("key"), "left_semi").select(*_RANGE)
+    """One node by its key from a written store: the session in the key filters the scan."""
+    store = _store(spark)
+    store.append("nodes", nodes(spark, d))
+    rows = store.read("nodes").where("conv_id = 7")
+    first = rows.agg(F.min_by("node_id", "turn_start").alias("key"))
+    return rows.join(first, F.col("node_id") == F.col("key"), "left_semi").select(*_RANGE)
 
 
 @query
@@ -311,16 +326,13 @@ def retrieve_by_turn(spark, d):
     return retrieval.by_turn(nodes(spark, d), asked).select(*_RANGE, "turn")
 
 
-def _log(spark, d) -> DataFrame:
-    """A warm log of two versions: the second rewrites the nodes of every third session."""
-    rows = nodes(spark, d).select("node_id", *_RANGE, "tok")
-    first = rows.withColumn("version", F.lit(1).cast("long")).withColumn("deleted", F.lit(False))
-    return memory.upsert(first, rows.where("conv_id % 3 = 0"), 2)
-
-
 @query
 def warm_upsert_latest(spark, d):
-    return memory.latest(_log(spark, d), ["node_id"]).select("conv_id", "chunk_ord", "version")
+    """A written store of two versions: the second rewrites the nodes of every third session."""
+    store, rows = _store(spark), nodes(spark, d)
+    store.append("nodes", rows, version=1)
+    store.append("nodes", rows.where("conv_id % 3 = 0"), version=2)
+    return memory.latest(store.log("nodes"), KEYS["nodes"]).select("conv_id", "chunk_ord", "version")
 
 
 @query
@@ -346,9 +358,10 @@ def cold_from_nodes(spark, d):
 @query
 def cold_latest(spark, d):
     """The archive after sessions with an even id were written a second time with one turn more."""
-    rows = _cold(spark, d).withColumn("version", F.lit(1).cast("long")).withColumn("deleted", F.lit(False))
-    again = _cold(spark, d).where("conv_id % 2 = 0").withColumn("turn_count", F.col("turn_count") + 1)
-    return memory.latest(memory.upsert(rows, again, 2), ["conv_id"]).select(*_cold_columns())
+    store, rows = _store(spark), _cold(spark, d)
+    store.append("cold", rows, version=1)
+    store.append("cold", rows.where("conv_id % 2 = 0").withColumn("turn_count", F.col("turn_count") + 1), version=2)
+    return store.read("cold").select(*_cold_columns())
 
 
 @query

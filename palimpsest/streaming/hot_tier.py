@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Config
 from ..operators import memory
+from ..operators.chunking import Vectorizer
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "conv_id long, idx long, role string, content string, tok long, turns long, raw_tokens long"
@@ -49,11 +50,11 @@ def evictions(turns: DataFrame, config: Config) -> DataFrame:
     return turns.groupBy("conv_id").transformWithStateInPandas(HotTier(config.hot_turns), EVENTS, "update", "none")
 
 
-def compress_evictions(turns: DataFrame, config: Config, write: Callable[[DataFrame, int], None], checkpoint: str):
+def compress_evictions(turns: DataFrame, config: Config, write: Callable[[DataFrame, int], None], checkpoint: str, vectorizer: Vectorizer | None = None):
     """Start a query that turns each micro-batch's evictions into memory nodes, each evicted turn a node, and hands them to `write` with the batch number."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        nodes = memory.compress(rows.select("conv_id", "idx", "role", "content", "tok"), config, single=True)
+        nodes = memory.compress(rows.select("conv_id", "idx", "role", "content", "tok"), config, single=True, vectorizer=vectorizer)
         write(nodes, number)
 
     return evictions(turns, config).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch).start()
