@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Blocks of a source; words of a shard; at most this many shards; documents tried for the rest of a quota (in the SQL only); seed of all draws.
-BLOCKS, SHARD_WORDS, MOST_SHARDS, FILLERS, SEED = 4096, 1 << 22, 1024, 64, 20240229
+#: Blocks of a source; words of a shard; levels of the tree between two deals of its nodes to tasks; seed of all draws.
+BLOCKS, SHARD_WORDS, DEAL, SEED = 4096, 1 << 22, 8, 20240229
 #: A source with this many documents left that may fit is settled at once.
 LAST = 1024
 _BITS = 60
@@ -64,6 +64,8 @@ def splitting_tree(quotas: DataFrame, levels: int) -> DataFrame:
     """(place, quota) of each source -> (shard, place, quota) of 2**levels shards; a source's quotas sum to its own."""
     node = quotas.agg(F.sort_array(F.collect_list(F.struct("place", "quota"))).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
     for level in range(levels):
+        if level and level % DEAL == 0:
+            node = node.repartition("node")
 
         def draw(s: Column, x: Column) -> Column:
             got = F.when(s["room"] <= 0, F.lit(0).cast("long")).otherwise(hypergeometric(x["quota"], s["pool"], s["room"], _uniform(F.lit(level), F.col("node"), x["place"])))  # noqa: B023
@@ -126,7 +128,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     passes = F.when(F.col("before") <= F.col("part"), F.col("whole") + 1).otherwise(F.col("whole"))
     drawn = blocks.where(passes > 0).select("place", "block", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)).alias("pass"))
     total = by_source.agg(F.sum("source_size")).collect()[0][0] or 0
-    levels = min(max(0, (total // SHARD_WORDS).bit_length()), MOST_SHARDS.bit_length() - 1)
+    levels = (total // SHARD_WORDS).bit_length()
     quotas = drawn.groupBy("place").agg(F.count("*").alias("quota"))
     shares = splitting_tree(quotas, levels)
     end = F.sum("quota").over(Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
@@ -190,14 +192,14 @@ def shards(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs as often as the mix takes each: rows that it leaves out go, rows that it repeats are repeated; all columns as they are."""
-    # Rows with equal ids, sources and sizes are interchangeable and take the largest of their numbers.
-    taken = mix(docs).where(F.size("placements") > 0).groupBy("doc_id", "source", "size").agg(F.max(F.size("placements")).alias("copies_"))
-    taken = taken.select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("size_"), "copies_")
+    """docs as often as the mix takes each, dealt to its shards and in each shard's shuffled order: rows that it leaves out go; all columns as they are."""
+    # Rows with equal ids, sources and sizes are interchangeable and take the most places that one of them has.
+    taken = mix(docs).where(F.size("placements") > 0).groupBy("doc_id", "source", "size").agg(F.max_by("placements", F.struct(F.size("placements"), "placements")).alias("placements"))
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (size == F.col("size_"))
-    joined = docs.join(taken.hint("merge"), same)
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("from"), size.alias("words"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    placed = rows.join(taken.hint("merge"), same).select("whole", F.explode("placements").alias("p")).select("whole", "p.shard", "p.order")
+    return placed.repartition("shard").sortWithinPartitions("shard", "order", F.xxhash64("whole")).select("whole.*")
 
 
 def oracle_sql() -> str:
@@ -218,11 +220,9 @@ p AS (SELECT d.doc_id, d.source, d.size, d.key, s6.source_size, s6.target, s6.wh
     FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
 g AS (SELECT source, max(part) - sum(CASE WHEN fits THEN size ELSE 0 END)::DOUBLE AS gap FROM p GROUP BY source),
 u0 AS (SELECT p.source, p.doc_id, p.size, p.key, g.gap FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND size > 0 AND size <= gap GROUP BY ALL HAVING count(*) = 1),
-u AS (SELECT * FROM u0 p
-    QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY p.key, p.doc_id) <= {FILLERS}),
 l AS (SELECT source, list_reduce(list({{'key': key, 'doc_id': doc_id, 'size': size}} ORDER BY key, doc_id),
     lambda s, x: CASE WHEN x.size <= s.gap THEN {{'gap': (s.gap - x.size)::DOUBLE, 'keys': list_append(s.keys, x.key)}} ELSE s END,
-    {{'gap': max(gap), 'keys': []::BIGINT[]}}).keys AS keys FROM u GROUP BY source),
-x AS (SELECT u.source, u.doc_id, u.key FROM u JOIN l ON u.source IS NOT DISTINCT FROM l.source WHERE list_contains(l.keys, u.key))
+    {{'gap': max(gap), 'keys': []::BIGINT[]}}).keys AS keys FROM u0 GROUP BY source),
+x AS (SELECT u.source, u.doc_id, u.key FROM u0 u JOIN l ON u.source IS NOT DISTINCT FROM l.source WHERE list_contains(l.keys, u.key))
 SELECT p.doc_id, p.size, p.source_size, p.target, (p.size * (p.whole + CASE WHEN p.fits OR x.key IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM p LEFT JOIN x ON p.source IS NOT DISTINCT FROM x.source AND p.doc_id IS NOT DISTINCT FROM x.doc_id AND p.key = x.key"""
