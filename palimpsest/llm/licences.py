@@ -74,11 +74,11 @@ _KEPT_NOTICE = ", provided that the above copyright notice and this permission n
 
 # Fixed values: (licence, text) of published licences and of their customary notices.
 KNOWN = [
-    ("0BSD", _ISC.format("")), ("Apache-2.0 notice", _APACHE), ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
+    ("0BSD", _ISC.format("")), ("Apache-2.0 notice", _APACHE),
     ("BSD-2-Clause", _BSD.format("")), ("BSD-3-Clause", _BSD.format(_THIRD)), ("BSL-1.0", _BSL), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + _BSL),
-    ("GPL-3.0 notice", _GPL), ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0 notice", _GPL),
     ("ISC", _ISC.format(_KEPT_NOTICE)), ("ISC", "ISC License\n\n" + _ISC.format(_KEPT_NOTICE)), ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT),
-    ("MIT notice", "Released under the MIT License."), ("Zlib", _ZLIB), ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("Zlib", _ZLIB), ("Zlib", "zlib License\n\n" + _ZLIB),
 ]
 
 # Fixed values: (licence, digest of the canonical form) of whole licence texts, made from the copies in Debian's /usr/share/common-licenses; the SQL has none of them.
