@@ -1,7 +1,7 @@
 """FLAC streams of 8-bit mono samples, encoded and decoded in lockstep over many frames with numpy.
 
 The encoder writes STREAMINFO (with the MD5 of the samples), a SEEKTABLE with a point for every SEEK_FRAMES frames, and frames of 576 samples:
-constant, verbatim, fixed (order 1) or linear-predictive (order 8), with Rice residuals in eight partitions. The decoder reads any mono
+constant, verbatim, fixed (order 1) or linear-predictive (order 8), with Rice residuals in four partitions. The decoder reads any mono
 8-bit stream of the format: constant, verbatim, fixed and linear-predictive subframes of all orders, both Rice methods with escapes,
 all partition orders, wasted bits and block sizes. It starts a lane at each seek point, decodes the lanes' frames side by side, and verifies each
 frame's header CRC-8, its CRC-16, and the stream's MD5.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .common import documents, staged, steps
 
-BLOCK, ORDER, PRECISION, PARTITIONS, SEEK_FRAMES, STEP_FRAMES, LANE_BYTES = 576, 8, 8, 8, 4, 2048, 4 << 20
+BLOCK, ORDER, PRECISION, PARTITIONS, SEEK_FRAMES, STEP_FRAMES, LANE_BYTES = 576, 8, 6, 4, 16, 2048, 4 << 20
 _FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]  # fixed values: the format's polynomial predictors
 
 
@@ -488,4 +488,5 @@ def media_digests(media: DataFrame) -> DataFrame:
 
 def stored_media_digests(docs: DataFrame) -> DataFrame:
     """Store every text's FLAC stream in the shared folder, read the stored bytes back and digest them."""
-    return media_digests(staged(encode_media(docs), "media", compression="zstd"))
+    # Large pages, so that copies of a text a few thousand rows apart are found by the compression.
+    return media_digests(staged(encode_media(docs), "media", compression="zstd", **{"parquet.page.size": str(16 << 20), "parquet.compression.codec.zstd.level": "9"}))
