@@ -36,7 +36,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the sources' target weights takes them."""
+    """Documents as often as the mix to the sources' target weights takes them, by shard and in each shard's order."""
     return mixed_documents(docs)
 
 
@@ -47,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("mixture", mixture), ("tokens", tokens)]
 
-#: The classifier, the part hashes and the tokenizer have no SQL form; the stages are tested against brute-force versions.
+#: The classifier, the min-hashes and the tokenizer have no SQL form. Brute-force tests cover the operators of all stages and `one_of_each`.
 ORACLE_SQL = None
 
 
