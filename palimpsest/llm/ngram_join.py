@@ -294,3 +294,20 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     # Copies become one before the shuffle; the losers go by the same key after it.
     one = rows.groupBy("key").agg(F.min_by("whole", "order").alias("whole"))
     return one.join(losers.hint("merge"), F.col("key") == F.col("loser"), "left_anti").select("whole.*")
+
+
+def oracle_sql(width: int = 3, percent: int = 90) -> str:
+    """Classes from the overlaps of all pairs of distinct shingle sets, for small tables."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= {width} THEN list_sort(list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: {shingle})))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+c AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+t AS (SELECT node, n, unnest(s) AS t FROM c),
+l AS (SELECT a.node AS a, b.node AS b FROM t a JOIN t b ON a.t = b.t AND a.node < b.node WHERE 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n
+    GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT node AS a, node AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS node, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON c.node = m.node"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing
+from . import licences, mixing, ngram_join, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": suffixes.oracle_sql(),
     "op4_mix_sources": mixing.oracle_sql(),
+    "op5_ngram_join": ngram_join.oracle_sql(),
     "op10_licence_scan": licences.oracle_sql(),
 }

@@ -416,3 +416,20 @@ def substring_report(docs: DataFrame) -> DataFrame:
     rows = documents(docs).withColumn("row_", F.xxhash64("text")).withColumn("doc_", F.coalesce("doc_id", F.lit(-(2**63))))
     joined = rows.join(marks.hint("merge"), (F.col("doc_") == F.col("doc")) & (F.col("row_") == F.col("row")), "left")
     return joined.select("doc_id", "text", "marks").mapInArrow(_report, REPORT)
+
+
+def oracle_sql() -> str:
+    """The report over every 50-byte string of every text, for tables of a few MB."""
+    return """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS lead FROM p GROUP BY s),
+c AS (SELECT p.doc_id, p.i FROM p JOIN m ON p.s = m.s WHERE m.lead < p.doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM c),
+r AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+t AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS z FROM t
+    UNION ALL SELECT d.doc_id, coalesce(max(t.z), 1), any_value(d.n) + 1 FROM d LEFT JOIN t ON d.doc_id = t.doc_id GROUP BY d.doc_id),
+h AS (SELECT k.doc_id, string_agg(hex(array_slice(d.b, k.a, k.z - 1)), '' ORDER BY k.a) AS kept FROM k JOIN d ON k.doc_id = d.doc_id WHERE k.z > k.a GROUP BY k.doc_id),
+u AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM t GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(u.n_removed, 0)::BIGINT AS n_removed, coalesce(u.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN u ON d.doc_id = u.doc_id LEFT JOIN h ON d.doc_id = h.doc_id"""

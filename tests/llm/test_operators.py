@@ -506,3 +506,17 @@ def test_pipeline(spark, sf):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op3_substring_dedup", "op4_mix_sources", "op5_ngram_join", "op10_licence_scan"])
+def test_against_sql(spark, sf, name):
+    import duckdb
+
+    from palimpsest.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    answer = con.execute(ORACLE_SQL[name])
+    names = [c[0] for c in answer.description]
+    expected = sorted(map(repr, answer.fetchall()))
+    assert sorted(repr(tuple(r)) for r in QUERIES[name](spark, sf).select(*names).collect()) == expected
