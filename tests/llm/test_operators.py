@@ -520,3 +520,25 @@ def test_against_sql(spark, sf, name):
     names = [c[0] for c in answer.description]
     expected = sorted(map(repr, answer.fetchall()))
     assert sorted(repr(tuple(r)) for r in QUERIES[name](spark, sf).select(*names).collect()) == expected
+
+
+def test_components(spark):
+    """Chains, stars with small and large centres, loops and repeats, against union-find."""
+    from palimpsest.llm.graph import components
+
+    rng = random.Random(3)
+    for edges in ([], [(3, 3), (5, 4), (4, 5)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 50)] + [(500, i) for i in range(60, 90)], [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(90)]):
+        parent: dict[int, int] = {}
+
+        def root(x, parent=parent):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted(map(tuple, found)) == sorted((x, root(x)) for x in parent)
