@@ -542,3 +542,31 @@ def test_components(spark):
                 parent[max(a, b)] = min(a, b)
         found = components(spark.createDataFrame(edges, "a long, b long")).collect()
         assert sorted(map(tuple, found)) == sorted((x, root(x)) for x in parent)
+
+
+def test_late_spans_equal_plain_comparison():
+    """The bounds of the second round leave out nothing that the exact comparison finds."""
+    from palimpsest.llm import passages
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    windows = []
+    for k in range(60):
+        a = int(rng.integers(0, 200))
+        own = base[a : a + int(rng.integers(20, 100))].copy()
+        own[rng.random(len(own)) < rng.choice([0.0, 0.05, 0.15, 0.3])] = rng.integers(0, 1 << 60)  # one value, repeated
+        if k % 3 == 0:
+            own = np.delete(own, np.flatnonzero(rng.random(len(own)) < 0.1))
+        windows.append(own)
+    windows.append(np.repeat(base[:2], 40))
+    x, y = windows[:35], windows[25:]
+    x_doc, y_doc = np.arange(35) // 2, np.arange(len(y)) + 10
+    expected = set()
+    for k, late in enumerate(y):
+        for m in range(len(x)):
+            spans = passages.similar_spans(x[m], late, 46, 80) if x_doc[m] < y_doc[k] else []
+            expected |= {(k, first, last, m) for first, last in spans}
+            if spans:
+                break
+    assert set(passages.late_spans(x, x_doc, y, y_doc, 46, 80)) == expected
+    assert len({k for k, *_ in expected}) > 5
