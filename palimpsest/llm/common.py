@@ -97,22 +97,27 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
 
 
 def lean(run: Callable) -> Callable:
-    """A mapInArrow function that gives its worker's freed memory back to the system when a task ends: idle workers stay small."""
+    """A mapInArrow function, or one of groups that yields batches, that gives its worker's freed memory back to the system when a task ends: idle workers stay small."""
 
     @wraps(run)
-    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leaner(*given) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(*given)
         finally:
-            for k in range(2):
-                _powers[k] = np.ones(1, np.uint64)
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return leaner
 
 
+def give_back() -> None:
+    """Give a worker's freed memory back to the system."""
+    for k in range(2):
+        _powers[k] = np.ones(1, np.uint64)
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Odd multiplier of the prefix hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
