@@ -97,12 +97,25 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
 
 
 def lean(run: Callable) -> Callable:
-    """A mapInArrow function, or one of groups that yields batches, that gives its worker's freed memory back to the system when a task ends: idle workers stay small."""
+    """A mapInArrow function that gives its worker's freed memory back to the system when a task ends: idle workers stay small."""
 
     @wraps(run)
-    def leaner(*given) -> Iterator[pa.RecordBatch]:
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(*given)
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return leaner
+
+
+def lean_groups(run: Callable) -> Callable:
+    """The same for an applyInArrow function of batches."""
+
+    @wraps(run)
+    def leaner(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(key, batches)
         finally:
             give_back()
 
