@@ -570,3 +570,28 @@ def test_late_spans_equal_plain_comparison():
                 break
     assert set(passages.late_spans(x, x_doc, y, y_doc, 46, 80)) == expected
     assert len({k for k, *_ in expected}) > 5
+
+
+def test_tables_reach_the_driver_in_pieces(spark, monkeypatch):
+    """A table's parts are never fetched all at once, as they were: no collect, but as many partitions as the table has pieces."""
+    from palimpsest.llm import common
+
+    rows = spark.range(30_000).select((F.col("id") * 7919).alias("x"))
+    pieces, frame = [], type(rows)
+    fetch = frame.toLocalIterator
+
+    def counted(self, *args):
+        pieces.append(self.rdd.getNumPartitions())
+        return fetch(self, *args)
+
+    def never(self):
+        raise AssertionError("a whole table was fetched")
+
+    monkeypatch.setattr(common, "PIECE", 1 << 17, raising=False)
+    monkeypatch.setattr(frame, "toLocalIterator", counted)
+    monkeypatch.setattr(frame, "collect", never)
+    table = common.value_table(rows, 1 << 18)
+    assert len(table.value) * 8 == 1 << common.table_bits(1 << 20) and pieces == [len(table.value) >> 17]
+    assert common.in_values(table, np.arange(30_000) * 7919).all()
+    assert common.in_values(table, np.arange(30_000) * 7919 + 1).mean() < 0.02
+    table.destroy()
