@@ -130,12 +130,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = by_source.agg(F.sum("source_size")).collect()[0][0] or 0
     levels = (total // SHARD_WORDS).bit_length()
     quotas = drawn.groupBy("place").agg(F.count("*").alias("quota"))
-    shares = splitting_tree(quotas, levels)
+    # A row a source and shard. Written, so that the tree's expressions aren't planned and described again with each stage of the joins below.
+    shares = staged(splitting_tree(quotas, levels), "mix-shares")
     end = F.sum("quota").over(Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     runs = shares.withColumn("end", end).where("quota > 0").select("place", "shard", F.explode(F.sequence(F.col("end") - F.col("quota") + 1, F.col("end"))).alias("rank"))
     order = Window.partitionBy("place").orderBy(F.xxhash64(F.lit(SEED), "place", "pass", "block"), "pass", "block")
     dealt = drawn.withColumn("rank", F.row_number().over(order).cast("long")).join(runs, ["place", "rank"])
-    shards = dealt.groupBy("place", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("passes"))
+    # A row a block: also written, which leaves two joins to the last plan.
+    shards = staged(dealt.groupBy("place", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("passes")), "mix-shards")
 
     out = placed.join(shards, ["place", "block"], "left").join(extra.withColumn("is_extra", F.lit(True)), ["place", "row"], "left")
     extra_row = F.coalesce(F.col("is_extra"), F.lit(False))

@@ -595,3 +595,12 @@ def test_tables_reach_the_driver_in_pieces(spark, monkeypatch):
     assert common.in_values(table, np.arange(30_000) * 7919).all()
     assert common.in_values(table, np.arange(30_000) * 7919 + 1).mean() < 0.02
     table.destroy()
+
+
+def test_mixture_plan_leaves_out_the_tree(spark, docs, monkeypatch):
+    """The splitting tree's expressions are planned once: the plan that joins documents with their shards doesn't grow with the number of shards."""
+    from palimpsest.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 100)
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 20_000 and "LOG" not in plan.upper().replace("LOGICAL", "")
