@@ -604,3 +604,28 @@ def test_mixture_plan_leaves_out_the_tree(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_WORDS", 100)
     plan = mixing.mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
     assert len(plan) < 20_000 and "LOG" not in plan.upper().replace("LOGICAL", "")
+
+
+def test_late_windows_with_one_frequent_sentence(monkeypatch):
+    """Windows that share a frequent sentence and nothing else are not compared one by one, repeats in them or not; those with a near copy are found."""
+    from palimpsest.llm import passages
+
+    rng = np.random.default_rng(8)
+    sentence = rng.integers(0, 1 << 60, 12).astype(np.uint64)
+    own = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    x = [np.concatenate([own(60), sentence, own(50)]) for _ in range(120)]
+    y = [np.concatenate([own(60), sentence, own(50)]) for _ in range(100)] + [np.concatenate([sentence, np.tile(own(20), 5), own(30)]) for _ in range(20)]
+    y += [np.concatenate([own(30), x[k][5:70], own(9)]) for k in (3, 70)] + [np.concatenate([np.repeat(own(1), 90), sentence])]
+    x_doc, y_doc = np.arange(len(x)), np.arange(len(y)) + 60
+    compared, best_runs = [], passages.best_runs
+    monkeypatch.setattr(passages, "best_runs", lambda shared, *args: compared.append(len(shared)) or best_runs(shared, *args))
+    got = passages.late_spans(x, x_doc, y, y_doc, 46, 80)
+    expected = set()
+    for k, late in enumerate(y):
+        for m in range(len(x)):
+            spans = passages.similar_spans(x[m], late, 46, 80) if x_doc[m] < y_doc[k] else []
+            expected |= {(k, first, last, m) for first, last in spans}
+            if spans:
+                break
+    assert set(got) == expected and {k for k, *_ in got} >= {120, 121}
+    assert sum(compared) < 4 * len(y)  # not len(x) * len(y)
