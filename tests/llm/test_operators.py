@@ -1,6 +1,7 @@
 """Each operator against a plain definition, on small tables with nulls, empty, long, repeated and clashing rows."""
 
 import hashlib
+import itertools
 import pathlib
 import random
 import re
@@ -629,3 +630,61 @@ def test_late_windows_with_one_frequent_sentence(monkeypatch):
                 break
     assert set(got) == expected and {k for k, *_ in got} >= {120, 121}
     assert sum(compared) < 4 * len(y)  # not len(x) * len(y)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_of_few_links_take_one_table(spark, monkeypatch, few):
+    """A long path in random order takes rounds of several jobs each; few links are settled by one task (few: 0 keeps the rounds)."""
+    from palimpsest.llm import graph
+
+    rng = random.Random(5)
+    path = rng.sample(range(-500, 500), 300)
+    edges = [*itertools.pairwise(path), (600, 601), (601, 602), (700, 700)]
+    written, staged_at = [], graph.staged_at
+    monkeypatch.setattr(graph, "staged_at", lambda df, label, **options: written.append(label) or staged_at(df, label, **options))
+    monkeypatch.setattr(graph, "FEW", few, raising=False)
+    found = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted([*((x, min(path)) for x in path), (600, 600), (601, 600), (602, 600)])
+    assert (len(written) == 1) == (few > 0)
+
+
+def test_least_reached_equals_plain_search():
+    from palimpsest.llm.graph import least_reached
+
+    rng = random.Random(6)
+    for n, m in [(8, 3), (60, 40), (60, 59), (60, 400)]:
+        links = [x for x in ((rng.randint(-n, n), rng.randint(-n, n)) for _ in range(m)) if x[0] != x[1]]
+        near = defaultdict(set)
+        for a, b in links:
+            near[a].add(b)
+            near[b].add(a)
+        expected = {}
+        for least in sorted(near):
+            waiting = [least]
+            while waiting:
+                if (x := waiting.pop()) not in expected:
+                    expected[x] = least
+                    waiting += near[x]
+        nodes, component = least_reached(*(np.array(side) for side in zip(*links, strict=True)))
+        assert dict(zip(nodes.tolist(), component.tolist(), strict=True)) == expected
+
+
+def test_driver_gives_its_heap_back_between_jobs(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from palimpsest.llm import common
+
+    collected = []
+    heap = SimpleNamespace(totalMemory=lambda: 51, maxMemory=lambda: 100)
+    lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap), System=SimpleNamespace(gc=lambda: collected.append(1)))
+    session = SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang)))
+    common.rest(session)
+    heap.totalMemory = lambda: 50
+    common.rest(session)
+    assert len(collected) == 1
+    rested = []
+    monkeypatch.setattr(common, "rest", rested.append)
+    common.staged(spark.range(3), "rest-test")
+    table = common.value_table(spark.range(3), 3)
+    assert len(rested) == 2 and common.in_values(table, np.arange(3)).all()
+    table.destroy()
