@@ -48,8 +48,8 @@ class BucketQueue:
             return
         order = np.argsort(symbols, kind="stable")
         symbols, items = symbols[order], items[order]
-        cuts = np.flatnonzero(np.diff(symbols, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(items)], strict=True):
+        cuts = [0, *(np.flatnonzero(symbols[1:] != symbols[:-1]) + 1).tolist()]
+        for a, b in zip(cuts, [*cuts[1:], len(items)], strict=True):
             self.waiting[int(symbols[a])].append(items[a:b])
         self.held += len(items)
         if self.held > self.most:
@@ -103,6 +103,10 @@ def _induce(s: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, symbols: int,
     order = np.argsort(ranks, kind="stable")
     seeds, ranks = seeds[order], ranks[order]
     cuts = np.searchsorted(ranks, np.arange(symbols + 1))
+    # The symbol before each place if the suffix there is of the larger or of the smaller type, else -1.
+    larger, smaller = np.full(len(s), -1, s.dtype), np.full(len(s), -1, s.dtype)
+    larger[1:] = np.where(s_type[:-1], -1, s[:-1])
+    smaller[1:] = np.where(s_type[:-1] & (s[:-1] > 0), s[:-1], -1)
     lower: list[np.ndarray] = []
     queue = BucketQueue(symbols, most)
     try:
@@ -111,16 +115,14 @@ def _induce(s: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, symbols: int,
             now = queue.pop(c)
             while len(now):
                 own.append(now)
-                before = now[now > 0] - 1
-                before = before[~s_type[before]]
-                first = s[before]
-                queue.push(first[first > c], before[first > c])
-                now = before[first == c]
+                first = larger[now]
+                go = first > c
+                queue.push(first[go], now[go] - 1)
+                now = now[first == c] - 1
             lower.append(np.concatenate(own) if own else np.zeros(0, np.int64))
             seed = seeds[cuts[c] : cuts[c + 1]]
-            before = seed[seed > 0] - 1
-            before = before[~s_type[before]]
-            queue.push(s[before], before)
+            first = larger[seed]
+            queue.push(first[first >= 0], seed[first >= 0] - 1)
     finally:
         queue.close()
     upper: list[np.ndarray] = [np.zeros(0, np.int64)] * symbols
@@ -136,17 +138,14 @@ def _induce(s: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, symbols: int,
                 break
             while len(now):
                 own.append(now)
-                before = now[now > 0] - 1
-                before = before[s_type[before]]
-                first = s[before]
-                queue.push(first[(first < c) & (first > 0)], before[(first < c) & (first > 0)])
-                now = before[first == c]
+                first = smaller[now]
+                go = (first < c) & (first > 0)
+                queue.push(first[go], now[go] - 1)
+                now = now[first == c] - 1
             upper[c] = np.concatenate(own) if own else np.zeros(0, np.int64)
             down = lower[c][::-1]
-            before = down[down > 0] - 1
-            before = before[s_type[before]]
-            first = s[before]
-            queue.push(first[first > 0], before[first > 0])
+            first = smaller[down]
+            queue.push(first[first > 0], down[first > 0] - 1)
     finally:
         queue.close()
     return np.concatenate([x for c in range(symbols) for x in (lower[c], upper[c][::-1])])
@@ -157,13 +156,11 @@ def sort_suffixes(s: np.ndarray, depth: int, most: int = QUEUE_ITEMS) -> np.ndar
     n = len(s)
     s_type = _types(s)
     s_type[s == 0] = True  # a separator is smaller than all that follows or precedes it
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    zero = np.flatnonzero(s == 0)
-    seeds = np.union1d(lms, zero)
+    is_seed = s == 0
+    is_seed[1:] |= s_type[1:] & ~s_type[:-1]
+    seeds = np.flatnonzero(is_seed)
     # Substrings from one seed to the next, sorted by an induced pass and named by comparison with the neighbour.
     order = _induce(s, s_type, seeds, 257, most)
-    is_seed = np.zeros(n, bool)
-    is_seed[seeds] = True
     found = order[is_seed[order]]
     place = np.zeros(n, np.int64)
     place[seeds] = np.arange(len(seeds))
@@ -173,24 +170,38 @@ def sort_suffixes(s: np.ndarray, depth: int, most: int = QUEUE_ITEMS) -> np.ndar
     own = size[place[found]]
     same = np.zeros(len(found), bool)
     same[1:] = own[1:] == own[:-1]
-    for k in range(int(size.max(initial=1))):
-        live = np.flatnonzero(same & (own > k))
-        if len(live) == 0:
-            break
-        same[live] = s[found[live] + k] == s[found[live - 1] + k]
-    names = np.zeros(len(seeds), np.int64)
-    names[place[found]] = np.cumsum(~same)
-    # The names' suffixes: ranks of doubled length until they are told apart or deep enough.
-    rank, width = names, 1
-    while width * 2 - 1 < depth + 2 and len(rank) and rank.max() < len(rank):
-        behind = np.zeros(len(rank), np.int64)
-        if width < len(rank):
-            behind[:-width] = rank[width:]
-        pair = rank * (int(rank.max()) + 1) + behind
-        _, rank = np.unique(pair, return_inverse=True)
-        rank = rank + 1
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        equal = s[found[live] + k] == s[found[live - 1] + k]
+        same[live[~equal]] = False
+        k += 1
+        live = live[equal]
+        live = live[own[live] > k]
+    # The names' suffixes: ranks of doubled length until they are told apart or deep enough. A rank is one more than the number of smaller suffixes, so those
+    # that nothing equals keep theirs and only the others are sorted again.
+    heads = np.flatnonzero(~same)
+    rank = np.zeros(len(seeds), np.int64)
+    rank[place[found]] = heads[np.cumsum(~same) - 1] + 1
+    tied = np.sort(place[found[same | np.append(same[1:], False)]])
+    width = 1
+    while width * 2 - 1 < depth + 2 and len(tied):
+        behind = np.where(tied + width < len(rank), rank[np.minimum(tied + width, len(rank) - 1)], 0)
+        pair = rank[tied] * (len(rank) + 1) + behind
+        order = np.argsort(pair)
+        tied, pair = tied[order], pair[order]
+        old, at = rank[tied], np.arange(len(tied))
+        group = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), at, 0))
+        equal = np.append(False, pair[1:] == pair[:-1])
+        rank[tied] = old + np.maximum.accumulate(np.where(equal, 0, at)) - group
+        tied = np.sort(tied[equal | np.append(equal[1:], False)])
         width *= 2
-    return _induce(s, s_type, seeds[np.argsort(rank, kind="stable")], 257, most)
+    # What is still equal stands in any order behind its rank.
+    tied = tied[np.argsort(rank[tied], kind="stable")]
+    old, at = rank[tied], np.arange(len(tied))
+    rank[tied] += at - np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1])[: len(old)], at, 0)) if len(tied) else 0
+    ordered = np.zeros(len(seeds), np.int64)
+    ordered[rank - 1] = seeds
+    return _induce(s, s_type, ordered, 257, most)
 
 
 def equal_groups(s: np.ndarray, length: int, starts: np.ndarray, most: int = QUEUE_ITEMS) -> tuple[np.ndarray, np.ndarray]:
@@ -200,41 +211,62 @@ def equal_groups(s: np.ndarray, length: int, starts: np.ndarray, most: int = QUE
     valid[starts] = True
     order = order[valid[order]]
     raw = np.concatenate([s.astype(np.uint8), np.zeros(8, np.uint8)])  # valid windows hold no separator, so the low byte tells symbols 1..256 apart
-    word = np.zeros(len(s), np.uint64)
-    for k in range(8):
-        word |= raw[k : k + len(s)].astype(np.uint64) << np.uint64(8 * k)
+    word = np.ndarray(len(s), "<u8", raw, strides=(1,)).copy()
     new = np.ones(len(order), bool)
-    same = np.ones(max(len(order) - 1, 0), bool)
+    live = np.arange(1, len(order))
     for k in sorted({*range(0, length - 7, 8), max(length - 8, 0)}):
-        same &= word[order[1:] + k] == word[order[:-1] + k]
-    new[1:] = ~same
+        live = live[word[order[live] + k] == word[order[live - 1] + k]]
+    new[live] = False
     return order, new
 
 
-def _runs(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, windows, minimizer) of each run of a step, and the prefix hash. Places are those in raw."""
-    n = len(raw)
-    c = prefix_hash(raw)
-    if n < LENGTH:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z.view(np.uint64), c
-    at = np.arange(n - GRAM + 1)
-    gram = span_hash(c, at, at + GRAM)
-    v = (gram & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
-    span = LENGTH - GRAM + 1
-    width, low = 1, v
-    while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    low = np.minimum(low[: len(low) - (span - width)], low[span - width :]) if span > width else low
-    place = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-    text = np.repeat(np.arange(len(offs) - 1), np.maximum(np.diff(offs) - LENGTH + 1, 0))
-    first = np.cumsum(np.maximum(np.diff(offs) - LENGTH + 1, 0))
-    window = np.arange(len(text)) + np.repeat(offs[:-1] - (first - np.maximum(np.diff(offs) - LENGTH + 1, 0)), np.maximum(np.diff(offs) - LENGTH + 1, 0))
-    own = place[window]
-    head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])])) if len(own) else np.zeros(0, np.int64)
-    count = np.diff(np.append(head, len(own)))
-    return text[head], window[head], count, mix(gram[own[head]], 91), c
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings of 16 bytes (GRAM) that start at each place of raw."""
+    x = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    out = x[:-8] * np.uint64(0x94D049BB133111EB)
+    out += x[8:]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
+#: Windows whose minimizers are looked for at once, so that the arrays stay in a core's cache.
+BLOCK = 1 << 15
+
+
+def _runs(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows, minimizer) of each run of a step. Places are those in raw."""
+    n = len(raw) - LENGTH + 1
+    raw = np.ascontiguousarray(raw)
+    begins = offs[:-1][np.diff(offs) >= LENGTH]
+    at, key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    span, rest, last = LENGTH - GRAM + 1, np.uint64((1 << 24) - 1), None
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n)
+        gram = _grams(raw[a : b + LENGTH - 1])
+        # The smallest hash, and the first of its places, in each window's grams.
+        low = (gram & ~rest) | np.arange(a, a + len(gram), dtype=np.uint64)
+        width = 1
+        while width * 2 <= span:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        low = np.minimum(low[: len(low) - (span - width)], low[span - width :]) if span > width else low
+        head = np.ones(len(low), bool)
+        np.not_equal(low[1:], low[:-1], out=head[1:])
+        head[0] = low[0] != last
+        last = low[-1]
+        head[begins[np.searchsorted(begins, a) : np.searchsorted(begins, b)] - a] = True
+        heads = np.flatnonzero(head)
+        at.append(heads + a)
+        key.append(gram[(low[heads] & rest).astype(np.int64) - a])
+    at, gram = np.concatenate(at), np.concatenate(key)
+    text = np.searchsorted(offs, at, "right") - 1
+    end = offs[1:][text] - LENGTH + 1
+    count = np.minimum(np.append(at[1:], max(n, 0))[: len(at)], end) - at
+    own = np.flatnonzero(at < end)
+    return text[own], at[own], count[own], mix(gram[own], 91)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -258,7 +290,7 @@ def _sharers(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw, offs, doc, _, _ in _segments(batches):
-            text, _, _, key, _ = _runs(raw, offs)
+            text, _, _, key = _runs(raw, offs)
             if len(key) == 0:
                 continue
             key = key >> np.uint64(64 - bits)
@@ -283,12 +315,12 @@ def _sender(bits: int, shards: int, table):
 
         packer = zstandard.ZstdCompressor(level=1)
         for raw, offs, doc, row, base in _segments(batches):
-            text, at, windows, key, c = _runs(raw, offs)
+            text, at, windows, key = _runs(raw, offs)
             hit = in_table(table, key)
             text, at, windows, key = text[hit], at[hit], windows[hit], key[hit]
             if len(key) == 0:
                 continue
-            content = mix(span_hash(c, at, at + windows + LENGTH - 1) + key, 92)
+            content = mix(span_hash(prefix_hash(raw), at, at + windows + LENGTH - 1) + key, 92)
             order = np.lexsort((at, doc[text], content))
             text, at, windows, key, content = (x[order] for x in (text, at, windows, key, content))
             head = np.concatenate([[True], content[1:] != content[:-1]])
@@ -382,20 +414,31 @@ REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-            data = text.encode()
-            edge = np.zeros(len(data) + 1, np.int32)
-            for m in marks or []:
-                spans = np.frombuffer(m, "<i4").reshape(-1, 2)
-                np.add.at(edge, spans[:, 0], 1)
-                np.add.at(edge, spans[:, 1], -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            starts = int((gone[1:] & ~gone[:-1]).sum()) + int(len(gone) > 0 and gone[0])
-            rows.append((len(data), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.string()]))], [c.split(" ")[0] for c in REPORT.split(", ")])
+    for batch in steps(batches, most=STEP):
+        raw, offs = text_bytes(batch.column("text"))
+        marks = [(k, m) for k, x in enumerate(batch.column("marks").to_pylist()) for m in x or []]
+        spans = np.frombuffer(b"".join(m for _, m in marks), "<i4").reshape(-1, 2).astype(np.int64)
+        text = np.repeat(np.array([k for k, _ in marks], np.int64), np.array([len(m) // 8 for _, m in marks], np.int64))
+        order = np.lexsort((spans[:, 0], text))
+        text = text[order]
+        spans = spans[order] + offs[text][:, None]
+        # Spans that touch are one run; texts lie one behind the other, so one running maximum serves all.
+        top = np.maximum.accumulate(spans[:, 1])
+        head = np.ones(len(text), bool)
+        head[1:] = (text[1:] != text[:-1]) | (spans[1:, 0] > top[:-1])
+        heads = np.flatnonzero(head)
+        begin, end = spans[heads, 0], top[np.append(heads[1:], len(text)) - 1] if len(heads) else heads
+        cuts = np.searchsorted(text[heads], np.arange(len(offs)))
+        removed = np.append(0, np.cumsum(end - begin))[cuts]
+        edges, at, body, digests = list(zip(begin.tolist(), end.tolist(), strict=True)), offs.tolist(), memoryview(raw), []
+        for k, (first, last) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            digest, kept = hashlib.sha256(), at[k]
+            for a, b in edges[first:last]:
+                digest.update(body[kept:a])
+                kept = b
+            digest.update(body[kept : at[k + 1]])
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offs)), pa.array(np.diff(removed)), pa.array(np.diff(cuts)), pa.array(digests, pa.string())], [c.split(" ")[0] for c in REPORT.split(", ")])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
