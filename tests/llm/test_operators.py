@@ -138,7 +138,7 @@ def test_substring_dedup(docs, none):
 
 
 def test_substring_dedup_costs():
-    """CPU time of op3's scan and report, against hashing the same bytes once; they took over 8 and 4 times that."""
+    """CPU time of op3's scan and report, against hashing the same bytes once; they took over 8 and 2 times that, now some 2.2 and 0.5."""
     import time
 
     from palimpsest.llm import suffixes
@@ -159,7 +159,7 @@ def test_substring_dedup_costs():
 
     once = least(lambda: prefix_hash(text_bytes(batch.column("text"))[0]))
     assert least(lambda: list(suffixes._sharers(40)(iter([batch])))) < 6 * once
-    assert least(lambda: list(suffixes._report(iter([batch])))) < 2 * once
+    assert least(lambda: list(suffixes._report(iter([batch])))) < 1.5 * once
     got = pa.Table.from_batches(suffixes._report(iter([batch]))).to_pylist()
     assert [(x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got] == [(201, 2, hashlib.sha256((t[:9] + t[160:2000] + t[2050:]).encode()).hexdigest()) for t in texts]
 
