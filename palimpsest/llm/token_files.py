@@ -51,7 +51,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     rows = texts.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_"))).dropDuplicates(["doc_id", "t"]).orderBy(F.xxhash64("doc_id"), "doc_id", "t").select("text").collect()
     encoder = Encoder(vocabulary(tokenizer))
     ids, offs = encoder.encode([r.text for r in rows])
-    parts = [_serialised(ids[a:b], _id_bytes(encoder.tokenizer)) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    id_bytes = _id_bytes(encoder.tokenizer)  # it reads the whole vocabulary
+    parts = [_serialised(ids[a:b], id_bytes) for a, b in zip(offs[:-1], offs[1:], strict=True)]
     raw = b"".join(parts)[:DICTIONARY_BYTES]
     if len(rows) < 50:
         return raw
@@ -71,7 +72,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder = worker_encoder(tokenizer, 1_000_000)
+        encoder = worker_encoder(tokenizer, 2_000_000)
         id_bytes = _id_bytes(encoder.tokenizer)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content) if content else None, write_content_size=True, write_checksum=True)
         shard, block, start = TaskContext.get().partitionId(), 0, 0
