@@ -5,7 +5,8 @@
    shingles first (degree, then hash). Two sets of similarity PERCENT share PERCENT of the larger one's shingles or more, so each has one of the shared ones among
    its first n - ceil(n * PERCENT / 100) + 1, whatever else is in them. Those of a set that may stand in another one are sent; a text that has enough words
    of its own sends nothing. Nodes that share a sent shingle with a shingle's smallest node are neighbours: linked nodes always end up in one cluster.
-   A task's step joins its own nodes first, so a shingle is sent once a step, however many copies there are.
+   They meet only in the same or the next size class (a class spans PERCENT), as linked sets do: else chains of strangers of all sizes become one cluster.
+   A task's step joins its own nodes first, so a shingle is sent twice a step and size class, however many copies there are.
 3. Clusters of neighbours (connected components) are cut into tiles of bounded size. Every tile meets itself and the cluster's first tile. Where a cluster has more
    than two tiles, the nodes that these meetings have not joined to its heaviest group meet all other tiles; nodes of one group need no further meeting,
    so a cluster of near copies costs its size and not its square. In a meeting, nodes are put into groups of similar ones. A token-group matrix holds the
@@ -97,20 +98,32 @@ def prefixes(sizes: np.ndarray, tokens: np.ndarray, levels: np.ndarray, percent:
     return first[levels[first] > 0]
 
 
+def size_class(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """A class of each size: sizes of which one is `percent` of the other or more are in the same class or in neighbouring ones. The slack is far above a logarithm's error."""
+    return np.floor(np.log(sizes) / max(np.log(100 / percent) * (1 + 1e-9), 1e-12)).astype(np.int64)
+
+
+def meeting_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Two keys of each shingle of a set of that class, first all of one kind: sets meet by a shingle if their classes are equal or neighbours."""
+    c = classes.astype(np.uint64)
+    return np.concatenate([mix(tokens + mix(c, 21), 22), mix(tokens + mix(c + np.uint64(1), 21), 22)])
+
+
 SENT = "is_edge boolean, token long, node long, lead long"
 
 
 def _sender(width: int, percent: int, table, first):
-    """Second pass: each step's rare shingles with their smallest node of the step, and the edges from the other nodes to it."""
+    """Second pass: each step's rare shingles, by size class, with their smallest node of the step, and the edges from the other nodes to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, sizes, tokens in _nodes(batches, width, first):
             at = prefixes(sizes, tokens, levels_of(table, tokens), percent)
             if len(at) == 0:
                 continue
-            owner = nodes[np.repeat(np.arange(len(nodes)), sizes)[at]]
-            order = np.lexsort((owner, tokens[at]))
-            token, begins, ends = runs_of(tokens[at][order])
+            of = np.repeat(np.arange(len(nodes)), sizes)[at]
+            keys, owner = meeting_keys(tokens[at], size_class(sizes, percent)[of]), np.tile(nodes[of], 2)
+            order = np.lexsort((owner, keys))
+            token, begins, ends = runs_of(keys[order])
             owner = owner[order]
             lead = np.repeat(owner[begins], ends - begins)
             pairs = np.unique(np.stack([owner, lead], 1)[owner != lead], axis=0)
@@ -123,15 +136,16 @@ def _sender(width: int, percent: int, table, first):
 
 
 def _texts(width: int, wanted):
-    """A text of each wanted node of a step."""
+    """A text of each wanted node of a step, from the rows that stand for their nodes: copies send none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, most=STEP):
-            held = {node_of(s): k for k, s in enumerate(shingle_sets(batch.column("text"), width)) if len(s)}
-            nodes, rows = np.array(list(held), np.int64), np.array(list(held.values()), np.int64)
-            hit = in_values(wanted, nodes)
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), batch.column("text").take(pa.array(rows[hit]))], ["node", "text"])
+            sets = shingle_sets(batch.column("text"), width)
+            nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
+            stands = in_values(wanted, nodes, batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
+            held = {int(nodes[k]): k for k in np.flatnonzero(stands).tolist() if len(sets[k])}
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), batch.column("text").take(pa.array(list(held.values()), pa.int64()))], ["node", "text"])
 
     return run
 
@@ -217,7 +231,7 @@ def candidate_clusters(docs: DataFrame, names: DataFrame, width: int, percent: i
     first.destroy()
     table.destroy()
     tokens = sent.where("not is_edge").select("token", "node")
-    # A shingle comes once a step at most, so its rows stay few even where a third of all texts share it.
+    # A shingle comes twice a step and size class at most, so its rows stay few even where a third of all texts share it.
     lead = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("token", "lead")
     met = tokens.join(lead, "token").select("node", "lead")
     return components(met.unionByName(sent.where("is_edge").select("node", "lead")).select(F.col("node").alias("a"), F.col("lead").alias("b")))
@@ -229,11 +243,10 @@ def _links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     members = staged(docs.mapInArrow(lean(_members(width)), "doc_id long, n_shingles long, node long"), "ngram-members")
     names = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("name"), F.max("n_shingles").alias("n"))
     placed = staged(candidate_clusters(docs, names, width, percent).join(names, "node"), "ngram-clusters")
-    count = placed.count()
+    wanted = value_table(placed.select("node", "name"), placed.count())
     weight = placed.groupBy("component").agg(F.sum("n").alias("tokens"))
     placed = placed.hint("merge").join(weight, "component").withColumn("tiles", F.ceil(F.col("tokens") / TILE_TOKENS).cast("int"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).select("component", "node", "n", "tile", "tiles")
-    wanted = value_table(placed.select("node"), count)
     texts = docs.mapInArrow(lean(_texts(width, wanted)), "node long, text string").dropDuplicates(["node"])
     # A merge join at every size: the clusters grow with the input, so they are never broadcast.
     held, held_path = staged_at(placed.hint("merge").join(texts, "node"), "ngram-texts")

@@ -768,3 +768,22 @@ def test_driver_gives_its_heap_back_between_jobs(spark, monkeypatch):
     table = common.value_table(spark.range(3), 3)
     assert len(rested) == 2 and common.in_values(table, np.arange(3)).all()
     table.destroy()
+
+
+def test_strangers_of_other_sizes_do_not_meet(spark):
+    """Texts that share their rarest shingles but can't be linked, for their sizes, are no candidates; linked ones of neighbouring sizes are."""
+    from palimpsest.llm import ngram_join as nj
+
+    for percent in (80, 90, 100):
+        sizes = np.arange(1, 3000)
+        classes = nj.size_class(sizes, percent)
+        assert (classes[np.minimum(sizes * 100 // percent, 2999) - 1] - classes <= 1).all()
+    words = [f"w{k}" for k in range(320)]
+    rows = [(k, " ".join(words[:n])) for k, n in enumerate((20, 40, 80, 160, 320))]
+    linked = [(10, " ".join(words[:160] + ["x"])), (11, " ".join(words[:150]))]
+    for more, met, classes in (([], 0, [0, 1, 2, 3, 4]), (linked, 3, [0, 1, 2, 3, 4, 3, 3])):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        members, names, _ = nj._links(docs, 3, 90)
+        assert nj.candidate_clusters(nj.documents(docs), names, 3, 90).count() == met
+        found = {r.doc_id: r.component_id for r in nj.jaccard_classes(docs, 3, 90).collect()}
+        assert [found[k] for k, _ in rows + more] == classes
