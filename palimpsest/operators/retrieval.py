@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,25 +71,128 @@ def by_turn(nodes: DataFrame, turns: DataFrame) -> DataFrame:
     return nodes.join(asked, "conv_id").where(F.col("turn").between(F.col("turn_start"), F.col("turn_end")))
 
 
-#: Queries that meet the vectors in one pass: a broadcast of at most this many vectors.
-QUERY_BLOCK = 1024
+#: Queries that meet the vectors in one pass: a broadcast of about this many vectors. Vectors of a step.
+QUERY_BLOCK, STEP_ROWS = 1024, 2048
+
+
+def _plain_dot(a: list | None, b: list | None) -> float | None:
+    """V.dot of two arrays as they come."""
+    if a is None or b is None or len(a) != len(b) or None in a or None in b:
+        return None
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total += x * y
+    return total
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Nine places as Spark rounds them: half up in decimal digits."""
+    values, back = np.unique(scores, return_inverse=True)
+    with localcontext() as context:
+        context.prec = 400
+        return np.array([float(Decimal(repr(x)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for x in values.tolist()])[back]
+
+
+def _plain_rows(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which arrays hold `dim` ordinary numbers, and those as a matrix of doubles."""
+    if dim == 0:
+        return np.zeros(len(lists), bool), np.zeros((0, 1))
+    fits = pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False)
+    rows = pc.list_flatten(lists.filter(fits)).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    plain = (np.abs(rows) < 1e100).all(1)  # neither null nor NaN
+    out = fits.to_numpy(zero_copy_only=False).copy()
+    out[out] = plain
+    return out, rows[plain]
+
+
+def _sequential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up in the order of V.dot."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
+
+
+class _Best:
+    """The best `most` vectors of each query so far: a matrix product finds what may be among them, and those are computed exactly."""
+
+    def __init__(self, queries: np.ndarray, most: int) -> None:
+        self.queries, self.most = queries, most
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(queries), -np.inf)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        near = rows @ self.queries.T
+        # Rounding to nine places, and what the order of a sum can change.
+        slack = 2e-9 + 1e-12 * np.sqrt((self.queries**2).sum(1)) * np.sqrt((rows**2).sum(1)).max()
+        least = self.least
+        if len(ids) > self.most and np.isinf(least).any():
+            least = np.maximum(least, np.partition(near, len(ids) - self.most, axis=0)[len(ids) - self.most] - slack)
+        row, query = np.nonzero(near >= least - slack)
+        for a in range(0, len(row), 1 << 18):
+            r, q = row[a : a + (1 << 18)], query[a : a + (1 << 18)]
+            self._merge(q, ids[r], _rounded(_sequential(rows[r], self.queries[q])))
+
+    def _merge(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        query, ids, score = np.concatenate([self.query, query]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        begins = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+        place = np.arange(len(query)) - np.repeat(begins, np.diff(np.append(begins, len(query))))
+        last = place == self.most - 1
+        self.least[query[last]] = score[last]
+        kept = place < self.most
+        self.query, self.id, self.score = query[kept], ids[kept], score[kept]
+
+
+def _search(block, most: int):
+    """Each task's best vectors of each query of a block. Rows and queries that hold anything but ordinary numbers are scored one by one, all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, lists = block.value
+        if not names:
+            return
+        dim = next((len(v) for v in lists if v), 0)
+        plain, queries = _plain_rows(pa.array(lists, pa.list_(pa.float64())), dim)
+        odd = np.flatnonzero(~plain).tolist()
+        best = _Best(queries, most)
+
+        def table(query: list, vec: list, score: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
+        for whole in batches:
+            for a in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(a, STEP_ROWS)
+                ids, vectors = batch.column("vec_id"), batch.column("embedding")
+                good, rows = _plain_rows(vectors, dim)
+                named = ids.is_valid().to_numpy(zero_copy_only=False)
+                rows, good = rows[named[good]], good & named
+                if len(rows) and len(queries):
+                    best.add(ids.filter(pa.array(good)).to_numpy(), rows)
+                for k in range(len(good)) if odd else np.flatnonzero(~good).tolist():
+                    own, some = vectors[k].as_py(), odd if good[k] else range(len(names))
+                    yield table([names[q] for q in some], [ids[k].as_py()] * len(some), [_plain_dot(own, lists[q]) for q in some])
+        yield table([names[q] for q in np.flatnonzero(plain)[best.query].tolist()], best.id.tolist(), best.score.tolist())
+
+    return run
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """(query_id, rank, vec_id, score): exact top-k of all vectors for a stated query set (query_id, qvec), block by block.
 
-    A block of QUERY_BLOCK queries is broadcast, whatever their number; each task keeps its best `most` of each query before anything is shuffled.
+    A block of about QUERY_BLOCK queries is broadcast, whatever their number; each task keeps its best `most` of each query before anything is shuffled.
     """
-    numbered = queries.select("query_id", "qvec", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK).alias("part"))
     parts = queries.count() // QUERY_BLOCK + 1
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    out = None
+    dealt = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    found = None
     for part in range(parts):
-        own = numbered.where(F.col("part") == part).drop("part")
-        scored = vectors.select("vec_id", "embedding").join(F.broadcast(own)).select("query_id", "vec_id", F.round(V.dot(F.col("embedding"), F.col("qvec")), 9).alias("score"))
-        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-        out = best if out is None else out.unionByName(best)
-    return out
+        own = dealt.where(F.col("part") == part).collect()
+        block = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in own], [r.qvec for r in own]))
+        scored = rows.mapInArrow(_search(block, most), "query_id long, vec_id long, score double")
+        found = scored if found is None else found.unionByName(scored)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")
 
 
 def warm_search(vectors: DataFrame, queries: DataFrame, config: Config) -> DataFrame:
