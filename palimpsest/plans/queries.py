@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import python_text as P
 from ..functions import text as X
 from ..operators import chunking, context, memory, retrieval
 from ..sources import messages as src
@@ -121,31 +122,24 @@ def top_words(spark, d):
 
 
 def _scored(spark, d, top: int) -> DataFrame:
-    """doc_id, text, sentences in rank order, all in one narrow stage."""
-    rows = docs(spark, d).withColumn("found", X.sentences(F.col("text"))).where("size(found) >= 2")
-    return rows.withColumn("ranked", X.scored_sentences(F.col("found"), X.top_words(X.telling_words(F.col("text")), top)))
+    """doc_id and the columns of sentence_table, a row for each sentence of a text of two or more."""
+    return docs(spark, d).select("doc_id", F.explode(P.sentence_table(F.col("text"), top, C.meso_tokens)).alias("x")).select("doc_id", "x.*")
 
 
 @query
 def sentence_scores(spark, d):
-    rows = _scored(spark, d, 20).select("doc_id", F.explode("ranked").alias("x"))
-    return rows.select("doc_id", long("x.pos").alias("pos"), F.round(0 - F.col("x.minus_score"), 6).alias("score"))
+    return _scored(spark, d, 20).select("doc_id", "pos", F.round("score", 6).alias("score"))
 
 
 @query
 def summarizer_trace(spark, d):
     """What the summary of each text looked at: the rounded scores of its sentences, which were picked, and their hits among the top 14 words."""
-    rows = docs(spark, d).withColumn("found", X.sentences(F.col("text"))).where("size(found) >= 2")
-    rows = rows.withColumn("top", X.top_words(X.telling_words(F.col("text")), 14))
-    rows = rows.withColumn("ranked", X.scored_sentences(F.col("found"), F.col("top")))
-    rows = rows.select("doc_id", "top", X.fitting(F.col("ranked"), C.meso_tokens).alias("n"), F.posexplode("ranked").alias("rank", "x"))
-    hits = F.size(F.array_intersect(F.array_distinct(X.telling_words(F.col("x.sentence"))), F.col("top")))
-    return rows.select("doc_id", long("x.pos").alias("pos"), (F.floor((0 - F.col("x.minus_score")) * 1000 + F.lit(0.5)) / 1000).alias("score"), (F.col("rank") < F.col("n")).alias("picked"), long(hits).alias("hits"))
+    return _scored(spark, d, 14).select("doc_id", "pos", (F.floor(F.col("score") * 1000 + F.lit(0.5)) / 1000).alias("score"), "picked", "hits")
 
 
 @query
 def extractive_summary(spark, d):
-    rows = docs(spark, d).select("doc_id", X.extractive(F.col("text"), C.meso_tokens).alias("summary"))
+    rows = docs(spark, d).select("doc_id", P.extractive(F.col("text"), C.meso_tokens).alias("summary"))
     return rows.withColumn("tok", long(X.token_count(F.col("summary"))))
 
 

@@ -73,3 +73,44 @@ def test_extractive_against_definition(spark):
 def test_vectors(spark):
     row = spark.range(1).select(V.norm(V.hashed_embedding(F.lit("alpha beta alpha"), 64)).alias("n"), V.norm(V.hashed_embedding(F.lit("a b"), 64)).alias("z")).collect()[0]
     assert abs(row.n - 1) < 1e-9 and row.z == 0
+
+
+def test_python_forms_give_what_the_columns_give(spark):
+    """Odd white space, line terminators, ties, long words, other scripts, null and empty texts."""
+
+    from pyspark.sql import types as T
+
+    from palimpsest.functions import python_text as P
+
+    rng = random.Random(3)
+    parts = ["alpha", "beta", "Gamma", "delta3", "x_y", "the", "of", "naïve", "ΣΑΣ", "İstanbul", "straße", "K9", "中文", "omega", "́e"]
+    gaps = [" ", ". ", "! ", "?\n", ".\u0085", " \u0085", ". ", "\x1f", "\t", "\r\n", ".\x0b", ", ", "...  ", "\xa0", ".  "]
+    texts = ["".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.choice([1, 2, 5, 20, 200]))) for _ in range(300)]
+    texts += [None, "", " ", ".", " \u0085", "a.  b. \u0085", "\u0085", " lead. tail  ", "abc. abc. abc.", "One. " * 60, " ".join(f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100]}" for k in range(1000)) + ". End here."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    t = F.col("t")
+
+    def table(most, budget):
+        ranked = X.scored_sentences(X.sentences(t), X.top_words(X.telling_words(t), most))
+        rows = frame.where(F.size(X.sentences(t)) >= 2).select("i", X.fitting(ranked, budget).alias("n"), F.posexplode(ranked).alias("rank", "x"))
+        return sorted((r.i, r.pos, r.score, r.picked) for r in rows.select("i", "x.pos", (0 - F.col("x.minus_score")).alias("score"), (F.col("rank") < F.col("n")).alias("picked")).collect())
+
+    for most, budget in ((20, 25), (2, 5)):
+        found = frame.select("i", F.explode(P.sentence_table(t, most, budget)).alias("x")).select("i", "x.*").collect()
+        assert sorted((r.i, r.pos, r.score, r.picked) for r in found) == table(most, budget)
+    both = frame.select(
+        "i", X.extractive(t, 25).alias("a"), P.extractive(t, 25).alias("b"), F.when(X.token_count(t) <= 25, t).otherwise(X.extractive(t, 25)).alias("c"), P.extractive(t, 25, whole=True).alias("d"),
+        P.each_extractive(F.array("t", "t"), F.array(F.lit(25), F.lit(26)), 25).alias("e"), V.hashed_embedding(t, 16).alias("f"), P.hashed_embedding(t, 16).alias("g"),
+    )
+    for r in both.collect():
+        assert (r.a, r.c, r.f) == (r.b, r.d, r.g) and r.e == [texts[r.i], r.b]
+    assert both.schema["g"].dataType == T.ArrayType(T.DoubleType())
+
+
+def test_scores_are_not_interpreted_by_lambdas(spark, sf):
+    """Sentences' scores come from one Python stage over the texts, which reads each text once."""
+    from palimpsest.plans import queries
+
+    for name in ("sentence_scores", "summarizer_trace"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [") == 1 and "transform(" not in plan
