@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import python_text as P
 from ..functions import text as X
 from ..functions import vectors as V
 
@@ -22,7 +23,7 @@ Vectorizer = Callable[[Column], Column]
 
 
 def hashed(config: Config) -> Vectorizer:
-    return lambda text: V.hashed_embedding(text, config.dim)
+    return lambda text: P.hashed_embedding(text, config.dim)
 
 
 def embed(turns: DataFrame, config: Config, vectorizer: Vectorizer | None = None) -> DataFrame:

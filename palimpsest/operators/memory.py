@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import python_text as P
 from ..functions import text as X
 from .chunking import Vectorizer, chunk
 
@@ -15,11 +16,11 @@ def two_places(x: Column) -> Column:
 
 
 def micro(content: Column, tok: Column, config: Config) -> Column:
-    return F.when(tok <= config.micro_tokens, content).otherwise(X.extractive(content, config.micro_tokens))
+    return F.when(tok <= config.micro_tokens, content).otherwise(P.extractive(F.when(tok > config.micro_tokens, content), config.micro_tokens))
 
 
 def meso(text: Column, tok: Column, config: Config) -> Column:
-    return X.let(text, lambda t: F.when(tok <= config.meso_tokens, t).otherwise(X.extractive(t, config.meso_tokens)))
+    return F.when(tok <= config.meso_tokens, text).otherwise(P.extractive(F.when(tok > config.meso_tokens, text), config.meso_tokens))
 
 
 def node_id(conv_id: Column, start: Column, end: Column) -> Column:
@@ -31,7 +32,7 @@ def build_nodes(chunks: DataFrame, config: Config) -> DataFrame:
     """Chunks -> memory nodes: label, topic summary, one summary a turn, centroid."""
     named = lambda m: F.when(F.trim(m) == "", F.concat(F.lit("Conversation about: "), F.col("topic"))).otherwise(m)
     out = chunks.withColumn("meso", X.let(meso(F.col("text"), F.col("tok"), config), named))
-    micros = F.transform("turns", lambda t: micro(t["content"], t["tok"], config))
+    micros = P.each_extractive(F.col("turns.content"), F.col("turns.tok"), config.micro_tokens)
     key = node_id(F.col("conv_id"), F.col("turn_start"), F.col("turn_end"))
     return out.select(key.alias("node_id"), "conv_id", "chunk_ord", "topic", "meso", micros.alias("micros"), "turn_start", "turn_end", "tok", "vec")
 
@@ -40,11 +41,13 @@ def compress(turns: DataFrame, config: Config, single: bool = False, vectorizer:
     return build_nodes(chunk(turns, config, single, vectorizer), config)
 
 
-def macro(nodes: DataFrame, config: Config) -> DataFrame:
-    """(conv_id, macro, node_count, topics, tok_nodes): the session's topic summaries in order, summarised where they are long."""
+def macro(nodes: DataFrame, config: Config, filled: bool = False) -> DataFrame:
+    """(conv_id, macro, node_count, topics, tok_nodes): the session's topic summaries in order, summarised where they are long. `filled`: only sessions with one."""
     rows = nodes.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "meso", "topic"))).alias("ns"), F.count("*").alias("node_count"), F.sum("tok").alias("tok_nodes"))
     joined = F.array_join(F.transform(F.filter("ns", lambda n: n["meso"] != ""), lambda n: n["meso"]), "\n\n")
-    text = X.let(joined, lambda t: F.when(X.token_count(t) <= config.macro_tokens, t).otherwise(X.extractive(t, config.macro_tokens)))
+    if filled:  # told by the nodes: a filter by the text would have it summarised twice
+        rows = rows.where(F.exists("ns", lambda n: n["meso"] != ""))
+    text = P.extractive(joined, config.macro_tokens, whole=True)
     return rows.select("conv_id", text.alias("macro"), "node_count", F.transform("ns", lambda n: n["topic"]).alias("topics"), "tok_nodes")
 
 
@@ -92,7 +95,7 @@ def delete_sessions(nodes: DataFrame, sessions: DataFrame) -> DataFrame:
 def cold_from_nodes(nodes: DataFrame, turns: DataFrame, config: Config) -> DataFrame:
     """One archive row for each session with a summary."""
     totals = turns.groupBy("conv_id").agg(F.count("*").alias("turn_count"), F.sum("tok").alias("tok_orig"))
-    rows = macro(nodes, config).where("macro <> ''").join(totals, "conv_id")
+    rows = macro(nodes, config, filled=True).join(totals, "conv_id")
     compressed = X.token_count(F.col("macro")).cast("long")
     ratio = two_places(F.col("tok_orig") / F.greatest(compressed, F.lit(1)))
     return rows.select("conv_id", "macro", "node_count", "turn_count", "tok_orig", compressed.alias("tok_comp"), ratio.alias("ratio"), F.array_join("topics", " | ").alias("topics"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import python_text as P
 from ..functions import text as X
 from ..functions import vectors as V
 
@@ -19,7 +20,7 @@ from ..functions import vectors as V
 def session_queries(turns: DataFrame, config: Config) -> DataFrame:
     """(conv_id, query, qvec): each session's last user turn; sessions without one drop out."""
     rows = turns.where("role = 'user'").groupBy("conv_id").agg(F.max_by("content", "idx").alias("query"))
-    return rows.withColumn("qvec", V.hashed_embedding(F.col("query"), config.dim))
+    return rows.withColumn("qvec", P.hashed_embedding(F.col("query"), config.dim))
 
 
 def keywords(text: Column) -> Column:

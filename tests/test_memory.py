@@ -85,3 +85,20 @@ def test_payload_budget_and_micro_lines(spark, sf):
     assert first and all(r.role == "system" for r in first)
     with_micro = context.blocks(ranked, include_micro=True).select("block").collect()
     assert any("\n  - " in r.block for r in with_micro)
+
+
+def test_turns_are_embedded_and_summarised_in_python(spark, sf):
+    """Neither words' hashes nor summaries are interpreted lambdas, and a second version is read from the store and not computed anew."""
+    from palimpsest.plans import queries
+    from palimpsest.sources.store import Store
+
+    for name in ("node_json_roundtrip", "cold_index", "cold_from_nodes", "cold_delete", "stateless_context"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan and "md5(" not in plan
+    written, real = [], Store.append
+    try:
+        Store.append = lambda self, name, rows, *a, **b: (written.append(rows._jdf.queryExecution().optimizedPlan().toString()), real(self, name, rows, *a, **b))[1]
+        queries.QUERIES["cold_latest"](spark, sf)
+    finally:
+        Store.append = real
+    assert "ArrowEvalPython" in written[0] and "ArrowEvalPython" not in written[1]
