@@ -323,9 +323,9 @@ def retrieve_by_turn(spark, d):
 @query
 def warm_upsert_latest(spark, d):
     """A written store of two versions: the second rewrites the nodes of every third session."""
-    store, rows = _store(spark), nodes(spark, d)
-    store.append("nodes", rows, version=1)
-    store.append("nodes", rows.where("conv_id % 3 = 0"), version=2)
+    store = _store(spark)
+    store.append("nodes", nodes(spark, d), version=1)
+    store.append("nodes", store.read("nodes").where("conv_id % 3 = 0"), version=2)
     return memory.latest(store.log("nodes"), KEYS["nodes"]).select("conv_id", "chunk_ord", "version")
 
 
@@ -352,9 +352,9 @@ def cold_from_nodes(spark, d):
 @query
 def cold_latest(spark, d):
     """The archive after sessions with an even id were written a second time with one turn more."""
-    store, rows = _store(spark), _cold(spark, d)
-    store.append("cold", rows, version=1)
-    store.append("cold", rows.where("conv_id % 2 = 0").withColumn("turn_count", F.col("turn_count") + 1), version=2)
+    store = _store(spark)
+    store.append("cold", _cold(spark, d), version=1)
+    store.append("cold", store.read("cold").where("conv_id % 2 = 0").withColumn("turn_count", F.col("turn_count") + 1), version=2)
     return store.read("cold").select(*_cold_columns())
 
 
